@@ -14,4 +14,4 @@ def load():
     return registry
 
 
-MODULES = ["steps", "core"]
+MODULES = ["steps", "core", "runs"]

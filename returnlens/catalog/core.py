@@ -176,23 +176,23 @@ def latest_daily_windows(p: Panels):
 
 
 @query("factor_pairs", """
-SELECT r.security_id, r.event_date, round(r.return_bps, 4) AS return_bps, round(f.value, 4) AS market_bps
+SELECT r.security_id, r.event_date, round(r.return_bps, 4) AS return_bps, round(f.value, 6) AS market_bps
 FROM rets r JOIN fac f ON f.event_date = r.event_date AND f.series_key = 'Mkt-RF' WHERE r.return_bps IS NOT NULL""")
 def factor_pairs(p: Panels):
     market = prepared(p).series.where("series_key = 'Mkt-RF'").select("event_date", F.col("value").alias("market_bps"))
     return seen_returns(p).where("return_bps IS NOT NULL").join(market, "event_date").select(
-        "security_id", "event_date", F.round("return_bps", 4).alias("return_bps"), F.round("market_bps", 4).alias("market_bps")
+        "security_id", "event_date", F.round("return_bps", 4).alias("return_bps"), F.round("market_bps", 6).alias("market_bps")
     )
 
 
 @query("factor_moves", """
-SELECT w.security_id, w.cadence, w.window_start, w.window_end, round(coalesce(sum(f.value), 0.0), 4) AS factor_move
+SELECT w.security_id, w.cadence, w.window_start, w.window_end, round(coalesce(sum(f.value), 0.0), 6) AS factor_move
 FROM all_windows w LEFT JOIN fac f ON f.series_key = 'SMB' AND f.event_date > w.window_start
   AND f.event_date <= w.window_end GROUP BY ALL""")
 def factor_moves(p: Panels):
     smb = series.factor_series(pit.visible_factor_returns(p.factor_return, CUTOFF)).where("series_key = 'SMB'")
     asked = windows.build_windows(seen_bars(p)).withColumn("series_key", F.lit("SMB"))
-    return series.attach_moves(asked, smb).select(*windows.WINDOW, F.round("factor_move", 4).alias("factor_move"))
+    return series.attach_moves(asked, smb).select(*windows.WINDOW, F.round("factor_move", 6).alias("factor_move"))
 
 
 @query("trailing_market_beta", f"""
@@ -270,7 +270,7 @@ def proxy_factor_returns(p: Panels):
 
 
 FIT_COLUMNS = """security_id, cadence, window_start, window_end, driver, name, observations, round(beta, 6) AS beta,
-       round(move, 4) AS factor_move, round(contribution_bps, 4) AS contribution_bps"""
+       round(move, 6) AS factor_move, round(contribution_bps, 4) AS contribution_bps"""
 
 
 def fit_view(rows):
@@ -280,7 +280,7 @@ def fit_view(rows):
         "name",
         "observations",
         F.round("beta", 6).alias("beta"),
-        F.round("factor_move", 4).alias("factor_move"),
+        F.round("factor_move", 6).alias("factor_move"),
         F.round("contribution_bps", 4).alias("contribution_bps"),
         "confidence",
     )
