@@ -134,18 +134,23 @@ def expanded_attribution_runs(p: Panels):
     )
 
 
-def with_key(runs, parts, keep=("driver", "name")):
+def fixed(column: str, stored_at: int, shown: int):
+    """Round a stored number through decimal, so that halves round alike everywhere."""
+    return F.round(F.col(column).cast(f"decimal(24, {stored_at})"), shown).cast("double").alias(column)
+
+
+def with_key(runs, parts):
     return parts.join(runs.select("attribution_run_id", *windows.WINDOW, "observed_return_bps"), "attribution_run_id")
 
 
 @query("expanded_attribution_contributions", """
-SELECT security_id, cadence, window_start, window_end, driver, name, round(contribution_bps, 3) AS contribution_bps,
+SELECT security_id, cadence, window_start, window_end, driver, name, CAST(round(CAST(contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps,
        count(*) AS copies FROM part_expanded GROUP BY ALL""")
 def expanded_attribution_contributions(p: Panels):
     runs, parts = stored(p)
     return (
         with_key(runs, parts)
-        .select(*windows.WINDOW, "driver", "name", F.round("contribution_bps", 3).alias("contribution_bps"))
+        .select(*windows.WINDOW, "driver", "name", fixed("contribution_bps", 6, 3))
         .groupBy(*windows.WINDOW, "driver", "name", "contribution_bps")
         .agg(F.count("*").alias("copies"))
     )
@@ -373,8 +378,8 @@ def run_narratives(p: Panels):
 
 
 @query("run_details", """
-SELECT r.security_id, r.cadence, r.window_start, r.window_end, c.driver, c.name, round(c.contribution_bps, 3) AS contribution_bps,
-       CASE WHEN abs(r.observed_return_bps) >= 25 THEN round(c.share_of_move, 5) END AS share_of_move
+SELECT r.security_id, r.cadence, r.window_start, r.window_end, c.driver, c.name, CAST(round(CAST(c.contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps,
+       CASE WHEN abs(r.observed_return_bps) >= 25 THEN CAST(round(CAST(c.share_of_move AS DECIMAL(24, 8)), 5) AS DOUBLE) END AS share_of_move
 FROM run_market r LEFT JOIN part_market c ON c.security_id = r.security_id AND c.cadence = r.cadence
  AND c.window_start = r.window_start AND c.window_end = r.window_end""")
 def run_details(p: Panels):
@@ -382,8 +387,8 @@ def run_details(p: Panels):
         *windows.WINDOW,
         "driver",
         "name",
-        F.round("contribution_bps", 3).alias("contribution_bps"),
-        F.round("share_of_move", 5).alias("share_of_move"),
+        fixed("contribution_bps", 6, 3),
+        fixed("share_of_move", 8, 5),
     )
 
 
@@ -543,16 +548,16 @@ def chart_prices(p: Panels):
 
 
 @query("chart_points", """
-SELECT security_id, event_date, driver, name, round(contribution_pct, 4) AS contribution_pct,
-       round(share_of_move, 5) AS share_of_move FROM chart_rows""")
+SELECT security_id, event_date, driver, name, CAST(round(CAST(contribution_pct AS DECIMAL(24, 8)), 4) AS DOUBLE) AS contribution_pct,
+       CAST(round(CAST(share_of_move AS DECIMAL(24, 8)), 5) AS DOUBLE) AS share_of_move FROM chart_rows""")
 def chart_points(p: Panels):
     return chart(p)[1].select(
         "security_id",
         "event_date",
         "driver",
         "name",
-        F.round("contribution_pct", 4).alias("contribution_pct"),
-        F.round("share_of_move", 5).alias("share_of_move"),
+        fixed("contribution_pct", 8, 4),
+        fixed("share_of_move", 8, 5),
     )
 
 
@@ -611,11 +616,11 @@ def chart_selection(p: Panels):
 
 
 @query("driver_table", """
-SELECT driver, name, round(contribution_bps, 3) AS contribution_bps, count(*) AS rows FROM part_market
+SELECT driver, name, CAST(round(CAST(contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps, count(*) AS rows FROM part_market
 WHERE driver = 'market' GROUP BY ALL""")
 def driver_table(p: Panels):
     rows = reports.driver_table(stored(p, expanded=False)[1], "market")
-    return rows.groupBy("driver", "name", F.round("contribution_bps", 3).alias("contribution_bps")).agg(
+    return rows.groupBy("driver", "name", fixed("contribution_bps", 6, 3)).agg(
         F.count("*").alias("rows")
     )
 
