@@ -10,8 +10,6 @@ from returnlens.catalog.steps import AT, LOOKBACK
 from returnlens.operators import models, peers, pit, returns, series, style, windows
 from returnlens.plans import attribution as plan
 
-BPS4 = "round({0}, 4) AS {0}"
-
 
 def market_data(p: Panels) -> plan.MarketData:
     return plan.MarketData(
@@ -273,14 +271,14 @@ FIT_COLUMNS = """security_id, cadence, window_start, window_end, driver, name, o
        round(move, 6) AS factor_move, round(contribution_bps, 4) AS contribution_bps"""
 
 
-def fit_view(rows):
+def fit_view(rows, move_decimals=6):
     return rows.select(
         *windows.WINDOW,
         "driver",
         "name",
         "observations",
         F.round("beta", 6).alias("beta"),
-        F.round("factor_move", 6).alias("factor_move"),
+        F.round("factor_move", move_decimals).alias("factor_move"),
         F.round("contribution_bps", 4).alias("contribution_bps"),
         "confidence",
     )
@@ -316,9 +314,12 @@ def peer_basket_model(p: Panels):
     return fit_view(simple_rows(p, models.peer_assignments(compositions), moves))
 
 
-@query("macro_model", f"SELECT {FIT_COLUMNS}, 'High' AS confidence FROM fits_assigned_macro")
+MACRO_COLUMNS = FIT_COLUMNS.replace("round(move, 6)", "round(move, 4)")
+
+
+@query("macro_model", f"SELECT {MACRO_COLUMNS}, 'High' AS confidence FROM fits_assigned_macro")
 def macro_model(p: Panels):
-    return fit_view(simple_rows(p, models.macro_assignments(p.security, p.company_exposure, CUTOFF)))
+    return fit_view(simple_rows(p, models.macro_assignments(p.security, p.company_exposure, CUTOFF)), 4)
 
 
 @query("peer_weights", """

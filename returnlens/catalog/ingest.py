@@ -550,7 +550,7 @@ def event_features(p: Panels):
 
 
 @query("event_surprises", """
-SELECT event_id, round(v, 6) AS surprise_value, CASE WHEN v > 0.01 THEN 'positive' WHEN v < -0.01 THEN 'negative' ELSE 'neutral' END AS direction
+SELECT event_id, round(v, 8) AS surprise_value, CASE WHEN v > 0.01 THEN 'positive' WHEN v < -0.01 THEN 'negative' ELSE 'neutral' END AS direction
 FROM (SELECT e.event_id, (e.value - m.expected) / coalesce(CASE WHEN e.event_id % 2 = 0 THEN 40.0 END, greatest(abs(m.expected), 1e-9)) AS v
       FROM event e JOIN (SELECT event_type, round(avg(value), 4) AS expected FROM event GROUP BY 1) m ON m.event_type = e.event_type) x""")
 def event_surprises(p: Panels):
@@ -562,7 +562,7 @@ def event_surprises(p: Panels):
         F.when(F.col("event_id") % 2 == 0, 40.0).alias("scale"),
     )
     return events.event_surprises(figures).select(
-        "event_id", F.round("surprise_value", 6).alias("surprise_value"), "direction"
+        "event_id", F.round("surprise_value", 8).alias("surprise_value"), "direction"
     )
 
 
@@ -615,9 +615,9 @@ def recent_exposure_decisions(p: Panels):
 
 
 @query("exposure_gates", """
-SELECT c_custkey, round(least(1.0, abs(net) / 0.2), 6) AS commodity, CASE WHEN net > 0 THEN 'positive' WHEN net < 0 THEN 'negative' ELSE 'unknown' END AS commodity_sign,
+SELECT c_custkey, round(least(1.0, abs(net) / 0.2), 9) AS commodity, CASE WHEN net > 0 THEN 'positive' WHEN net < 0 THEN 'negative' ELSE 'unknown' END AS commodity_sign,
        CASE WHEN net > 0 THEN 'negative' WHEN net < 0 THEN 'positive' ELSE 'unknown' END AS fx_sign,
-       round(least(1.0, abs((a + b + 0.1 + 0.2) / 4)), 6) AS rate, round(1 / (1 + exp(-((a - b + 0.1 - 0.2) / 4))), 6) AS credit,
+       round(least(1.0, abs((a + b + 0.1 + 0.2) / 4)), 9) AS rate, round(1 / (1 + exp(-((a - b + 0.1 - 0.2) / 4))), 9) AS credit,
        CASE WHEN a <= 0 THEN 'none' WHEN a < 0.35 THEN 'low' WHEN a < 0.65 THEN 'medium' WHEN a < 0.90 THEN 'high' ELSE 'critical' END AS bucket,
        CASE WHEN a <= 0 THEN 0.0 WHEN a < 0.35 THEN 0.25 WHEN a < 0.65 THEN 0.5 WHEN a < 0.90 THEN 0.75 ELSE 1.0 END::DOUBLE AS bucket_gate
 FROM (SELECT c_custkey, c_acctbal / 10000 AS a, (c_custkey % 10) / 10.0::DOUBLE AS b,
@@ -636,11 +636,11 @@ def exposure_gates(p: Panels):
         scoring.exposure_bucket(a).alias("bucket"),
     ).select(
         "c_custkey",
-        F.round("commodity.gate_weight", 6).alias("commodity"),
+        F.round("commodity.gate_weight", 9).alias("commodity"),
         F.col("commodity.expected_sign").alias("commodity_sign"),
         F.col("fx.expected_sign").alias("fx_sign"),
-        F.round("rate.gate_weight", 6).alias("rate"),
-        F.round("credit.gate_weight", 6).alias("credit"),
+        F.round("rate.gate_weight", 9).alias("rate"),
+        F.round("credit.gate_weight", 9).alias("credit"),
         "bucket",
         scoring.bucket_gate(F.col("bucket")).alias("bucket_gate"),
     )
@@ -692,7 +692,7 @@ def labelled(p: Panels):
 
 
 @query("sector_macro_exposures", """
-SELECT company_id, unnest(['rates', 'credit', 'inflation']) AS exposure_name, round(unnest([rates, credit, inflation]), 4) AS exposure_value
+SELECT company_id, unnest(['rates', 'credit', 'inflation']) AS exposure_name, round(CAST(unnest([rates, credit, inflation]) AS DOUBLE), 4) AS exposure_value
 FROM (SELECT company_id, CASE WHEN h THEN least(r2, 0.55) ELSE r2 END AS rates,
         CASE WHEN h THEN least(c4, 0.55) ELSE c4 END AS credit, CASE WHEN e THEN 0.85 ELSE 0.50 END AS inflation
       FROM (SELECT *, CASE WHEN t THEN least(c3, 0.55) ELSE c3 END AS c4 FROM (

@@ -164,7 +164,7 @@ FROM security"""
 
 PANELS["peer_member"] = """
 SELECT a.security_id AS peer_basket_id, b.security_id AS peer_security_id,
-       CASE WHEN b.security_id % 2 = 0 THEN 0.5 ELSE 0.25 END AS weight,
+       CAST(CASE WHEN b.security_id % 2 = 0 THEN 0.5 ELSE 0.25 END AS DOUBLE) AS weight,
        CAST('1995-01-01' AS {ts}) AS active_from,
        CASE WHEN b.security_id % 11 = 3 THEN CAST('1999-01-01' AS {ts}) ELSE CAST(NULL AS {ts}) END AS active_to,
        CAST('1995-01-02' AS {ts}) AS timestamp_available
@@ -172,7 +172,7 @@ FROM security a JOIN security b ON a.sector = b.sector"""
 
 PANELS["company_exposure"] = """
 SELECT c_nationkey AS company_id, e.exposure_name,
-       round(least(1.0, greatest(0.0, avg(c_acctbal) / e.scale)), 4) AS exposure_value, 'panel-v0' AS model_version,
+       round(least(CAST(1.0 AS DOUBLE), greatest(CAST(0.0 AS DOUBLE), avg(c_acctbal) / CAST(e.scale AS DOUBLE))), 4) AS exposure_value, 'panel-v0' AS model_version,
        CAST('1995-01-02' AS {ts}) AS timestamp_available
 FROM {customer} CROSS JOIN (SELECT 'rates' AS exposure_name, 6000.0 AS scale UNION ALL SELECT 'credit', 9000.0
                             UNION ALL SELECT 'inflation', 7000.0) e
@@ -218,9 +218,9 @@ FROM security"""
 
 PANELS["price_feed"] = """
 SELECT l_orderkey * 10 + l_linenumber AS id, lower(n.n_name) AS ticker, CAST(l_shipdate AS DATE) AS price_date,
-       CASE WHEN l_linenumber = 1 AND l_orderkey % 50 = 0 THEN -1.0
+       CASE WHEN l_linenumber = 1 AND l_orderkey % 50 = 0 THEN CAST(-1.0 AS DOUBLE)
             WHEN l_linenumber = 2 AND l_orderkey % 60 = 0 THEN CAST('NaN' AS DOUBLE)
-            WHEN l_linenumber = 3 AND l_orderkey % 70 = 0 THEN 2e12
+            WHEN l_linenumber = 3 AND l_orderkey % 70 = 0 THEN CAST(2e12 AS DOUBLE)
             ELSE l_extendedprice END AS close,
        CAST(l_quantity AS BIGINT) AS volume
 FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN {nation} n ON s.s_nationkey = n.n_nationkey"""

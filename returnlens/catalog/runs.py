@@ -198,9 +198,10 @@ def shares_of_move(p: Panels):
 
 
 @query("residual_safety_attribution", """
-SELECT security_id, cadence, window_start, window_end, round(residual_bps, 3) AS residual_bps,
+SELECT security_id, cadence, window_start, window_end,
+       CAST(round(CAST(round(residual_bps, 6) AS DECIMAL(24, 6)), 3) AS DOUBLE) AS residual_bps,
        CASE WHEN abs(residual_bps) > 0.5 * greatest(abs(observed_return_bps), 25.0) THEN 'Low' ELSE 'Medium' END AS confidence,
-       CASE WHEN abs(observed_return_bps) >= 25 THEN round(residual_bps / observed_return_bps, 5) END AS share_of_move,
+       CASE WHEN abs(observed_return_bps) >= 25 THEN CAST(round(CAST(round(residual_bps / observed_return_bps, 8) AS DECIMAL(24, 8)), 5) AS DOUBLE) END AS share_of_move,
        input_rows + 1 AS contribution_rows
 FROM totals_expanded""")
 def residual_safety_attribution(p: Panels):
@@ -209,9 +210,9 @@ def residual_safety_attribution(p: Panels):
     rest = with_key(runs, parts).where("driver = 'unexplained_residual'")
     return rest.join(counts, "attribution_run_id").select(
         *windows.WINDOW,
-        F.round("contribution_bps", 3).alias("residual_bps"),
+        fixed("contribution_bps", 6, 3).alias("residual_bps"),
         "confidence",
-        F.round("share_of_move", 5).alias("share_of_move"),
+        fixed("share_of_move", 8, 5),
         "contribution_rows",
     )
 

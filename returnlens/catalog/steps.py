@@ -102,7 +102,7 @@ GROUP BY w.target_security_id, r.event_date HAVING count(*) = max(w.active_membe
 
 STEPS["gates"] = f"""
 SELECT s.security_id, g.series_key,
-       least(1.0, greatest(0.0, coalesce(e.exposure_value, g.otherwise))) AS gate
+       CAST(least(1.0, greatest(0.0, coalesce(e.exposure_value, g.otherwise))) AS DOUBLE) AS gate
 FROM security s CROSS JOIN (VALUES ('macro:2y_yield_change', 'rates', 1.0), ('macro:10y_yield_change', 'rates', 1.0),
   ('macro:2s10s_curve_change', 'rates', 1.0), ('macro:hy_spread_change', 'credit', 1.0),
   ('macro:ig_spread_change', 'credit', 1.0), ('macro:vix_return', 'none', 1.0),

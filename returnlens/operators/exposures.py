@@ -114,12 +114,13 @@ def heuristic_exposures(securities: DataFrame, mapping_version: str, model_versi
         (sector.isin("Consumer Staples", "Consumer Discretionary", "Materials"), {"inflation": 0.65}),
         (F.contains(industry, F.lit("Bank")) | F.contains(industry, F.lit("Financial")), {"rates": 0.9, "credit": 0.9}),
     ]
+
+    def overlay(held: Column, update: Column) -> Column:
+        return F.map_concat(F.map_filter(held, lambda k, _: ~F.map_contains_key(update, k)), update)
+
     merged = nothing
     for applies, entries in steps:
-        update = F.when(applies, table(entries)).otherwise(nothing)
-        held = merged
-        kept = F.map_filter(held, lambda k, _, u=update: ~F.map_contains_key(u, k))
-        merged = F.map_concat(kept, update)
+        merged = overlay(merged, F.when(applies, table(entries)).otherwise(nothing))
     return securities.select("company_id", "ticker", F.explode(merged).alias("exposure_name", "exposure_value")).select(
         "company_id",
         "ticker",

@@ -174,7 +174,7 @@ def layered_rows(
         F.col("gate").alias("value"),
         F.lit(None).cast("int").alias("earlier"),
     )
-    facts = observed.unionByName(own).unionByName(present)
+    facts = observed.unionByName(own).unionByName(present).withColumnRenamed("security_id", "owner_id")
     asked = windows.select("security_id", "cadence", "window_start", "window_end", "observed_return_bps")
     kind = windows.schema["security_id"].dataType.simpleString()
     lookback = int(lookback_days)
@@ -226,7 +226,7 @@ def layered_rows(
 
     fits = (
         asked.groupBy("security_id")
-        .cogroup(facts.groupBy("security_id"))
+        .cogroup(facts.groupBy("owner_id"))
         .applyInPandas(per_security, SCHEMA.format(id=kind))
     )
     named = fits.join(
