@@ -224,9 +224,12 @@ def layered_rows(
         fitted = pd.DataFrame(out, columns=names[5:])
         return pd.concat([result, fitted], axis=1)[names]
 
+    # The groups are small in bytes and heavy in arithmetic, so their number of tasks must not shrink with their size.
+    tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fits = (
-        asked.groupBy("security_id")
-        .cogroup(facts.groupBy("owner_id"))
+        asked.repartition(tasks, "security_id")
+        .groupBy("security_id")
+        .cogroup(facts.repartition(tasks, "owner_id").groupBy("owner_id"))
         .applyInPandas(per_security, SCHEMA.format(id=kind))
     )
     named = fits.join(
