@@ -14,4 +14,4 @@ def load():
     return registry
 
 
-MODULES = ["steps", "core", "runs", "ingest"]
+MODULES = ["steps", "core", "runs", "ingest", "jobs"]
