@@ -253,9 +253,7 @@ def contribution_order(p: Panels):
 SELECT CAST(NULL AS VARCHAR) AS attribution_run_id, CAST(NULL AS VARCHAR) AS problem FROM region WHERE false""")
 def reconciliation_check(p: Panels):
     runs, parts = stored(p)
-    return quality.reconciliation_breaks(runs, parts).where("problem <> 'residual field differs'").select(
-        "attribution_run_id", "problem"
-    )
+    return quality.reconciliation_breaks(runs, parts).select("attribution_run_id", "problem")
 
 
 @query("lookahead_audit", """

@@ -1,7 +1,8 @@
 """Layered market-first model: each factor enters only with what earlier layers do not explain.
 
-Layers depend on one another within a window, so this is the one model that runs per security in Arrow groups. A group
-holds one security's windows, returns and assigned series, each with at most one row per calendar day.
+Layers depend on one another within a window, so this is the one model that runs in Arrow groups. A group holds one
+security's windows starting in one year, with the returns and assigned series those windows reach, each with at most one
+row per calendar day.
 """
 
 from __future__ import annotations
@@ -149,8 +150,13 @@ def layered_rows(
         *[F.struct(F.lit(k).alias("series_key"), F.lit(i).alias("slot")) for i, k in enumerate(FIVE_FACTORS)]
     )
     base = securities.select("security_id", F.inline(market), F.lit(1.0).alias("gate"))
+    # A peer basket or macro factor without any value is no layer; an assigned sector stays one even when empty.
+    observed_keys = series.select("series_key").distinct()
+    standing = layers.where(F.col("layer") < 2).unionByName(
+        layers.where(F.col("layer") >= 2).join(observed_keys, "series_key", "left_semi").select(*layers.columns)
+    )
     slots = base.unionByName(
-        layers.select("security_id", "series_key", (F.col("layer") + first_layer).alias("slot"), "gate")
+        standing.select("security_id", "series_key", (F.col("layer") + first_layer).alias("slot"), "gate")
     )
     day = F.unix_date
     observed = slots.join(series, "series_key").select(
@@ -174,11 +180,23 @@ def layered_rows(
         F.col("gate").alias("value"),
         F.lit(None).cast("int").alias("earlier"),
     )
-    facts = observed.unionByName(own).unionByName(present).withColumnRenamed("security_id", "owner_id")
-    asked = windows.select("security_id", "cadence", "window_start", "window_end", "observed_return_bps")
-    kind = windows.schema["security_id"].dataType.simpleString()
     lookback = int(lookback_days)
-    peer_slot = first_layer + 2
+    stretches = windows.groupBy(F.col("security_id").alias("owner_id"), F.year("window_start").alias("owner_year")).agg(
+        (day(F.min("window_start")) - lookback).alias("_low"), day(F.max("window_end")).alias("_high")
+    )
+    facts = (
+        observed.unionByName(own)
+        .unionByName(present)
+        .withColumnRenamed("security_id", "owner_id")
+        .join(stretches, "owner_id")
+        .where(F.col("day").isNull() | F.col("day").between(F.col("_low"), F.col("_high")))
+        .drop("_low", "_high")
+    )
+    asked = windows.select(
+        "security_id", "cadence", "window_start", "window_end", "observed_return_bps", F.year("window_start").alias("start_year")
+    )
+    kind = windows.schema["security_id"].dataType.simpleString()
+    macro_slot = first_layer + 3
 
     def per_security(ask: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
         names = [
@@ -205,10 +223,7 @@ def layered_rows(
         stock[row[mine]], stock_earlier[row[mine]] = value[mine], before[mine]
         values[row[~mine], slot[~mine]] = value[~mine]
         earlier[row[~mine], slot[~mine]] = before[~mine]
-        layers_here = [
-            (s, g) for s, g in sorted(gates.items())
-            if s >= first_layer and not (s >= peer_slot and np.isnan(values[:, s]).all())
-        ]
+        layers_here = [(s, g) for s, g in sorted(gates.items()) if s >= first_layer]
         epoch = np.datetime64("1970-01-01", "D")
         starts = (pd.to_datetime(ask["window_start"]).to_numpy().astype("datetime64[D]") - epoch).astype(int)
         ends = (pd.to_datetime(ask["window_end"]).to_numpy().astype("datetime64[D]") - epoch).astype(int)
@@ -216,7 +231,7 @@ def layered_rows(
         for i, (start, end) in enumerate(zip(starts, ends)):
             found = layered_window(
                 days, values, earlier, stock, stock_earlier, layers_here, list(range(first_layer)), start, end, lookback,
-                peer_slot + 1,
+                macro_slot,
             )
             picked += [i] * len(found)
             out += found
@@ -227,9 +242,9 @@ def layered_rows(
     # The groups are small in bytes and heavy in arithmetic, so their number of tasks must not shrink with their size.
     tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fits = (
-        asked.repartition(tasks, "security_id")
-        .groupBy("security_id")
-        .cogroup(facts.repartition(tasks, "owner_id").groupBy("owner_id"))
+        asked.repartition(tasks, "security_id", "start_year")
+        .groupBy("security_id", "start_year")
+        .cogroup(facts.repartition(tasks, "owner_id", "owner_year").groupBy("owner_id", "owner_year"))
         .applyInPandas(per_security, SCHEMA.format(id=kind))
     )
     named = fits.join(

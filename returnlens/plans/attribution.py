@@ -129,8 +129,9 @@ def attribute(
         raise ValueError(f"unsupported attribution methodology {settings.methodology}")
     ready = prepare(data, settings, chosen)
     rows = expanded_rows(data, settings, ready) if expanded else market_rows(data, settings, ready)
+    rows = settle(rows, "inputs")
     safe = settings.methodology != "legacy"
-    parts = assemble.contributions(ready.windows, rows, settings.cutoff, safe)
+    parts = settle(assemble.contributions(ready.windows, rows, settings.cutoff, safe), "contributions")
     basket = None if expanded else "french_market_v0"
     run_rows = assemble.runs(ready.windows, parts, settings.cutoff, settings.methodology, basket)
     return run_rows, assemble.stored_contributions(run_rows, parts)
