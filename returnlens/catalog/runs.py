@@ -269,7 +269,7 @@ SELECT w.security_id, w.cadence, w.window_start, w.window_end,
 FROM win w JOIN bars b ON b.security_id = w.security_id AND b.event_date <= w.window_end GROUP BY ALL""")
 def input_availability_audit(p: Panels):
     ready = prepared(p)
-    seen = quality.input_availability(ready.windows, ready.bars, 252)
+    seen = quality.input_availability(ready.windows, ready.bars)
     return seen.select(*windows.WINDOW, F.date_format("inputs_available", "yyyy-MM-dd").alias("inputs_available"))
 
 

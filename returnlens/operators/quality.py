@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from returnlens.operators.assemble import driver_rank
@@ -46,13 +46,11 @@ def lookahead_breaks(run_rows: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
-def input_availability(windows: DataFrame, bars: DataFrame, lookback_days: int) -> DataFrame:
+def input_availability(windows: DataFrame, bars: DataFrame) -> DataFrame:
     """Newest availability among the bars each window uses, to be compared with the cutoff.
 
     Per security the running maximum over bars up to the window's end bounds every bar the window reads.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("security_id").orderBy("event_date")
     span = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     latest = bars.select(
@@ -71,8 +69,6 @@ def driver_order_breaks(parts: DataFrame) -> DataFrame:
 
 def sorted_positions(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Position of each row inside its run: by driver order, then name."""
-    from pyspark.sql import Window
-
     rank = driver_rank(F.col("driver"))
     w = Window.partitionBy(*keys).orderBy(rank, "name", "contribution_bps")
     return parts.withColumn("position", F.row_number().over(w))
