@@ -2,9 +2,9 @@
 
 1. Words and word beginnings that stand out in toxic training rows become lexicon voters; shouting, exclamation and
    absence of every lexicon entry are pattern voters.
-2. A generative label model estimates, without looking at the labels, how often each voter fires in either class, and how
-   far voters repeat each other within a class; correlated voters share their weight.
-3. A sparse linear classifier is fitted to the posterior labels and scores every document.
+2. A generative label model estimates, starting from the training labels, how often each voter is right, and how far voters
+   repeat each other within a class; correlated voters share their weight.
+3. A linear classifier is fitted to the posterior labels and scores every document.
 
 Statistics for step 1 are counted where the rows are. The fit sees a documented, bounded sample of labelled rows;
 scoring is a map over all rows without a shuffle.
@@ -26,10 +26,12 @@ from pyspark.sql import types as T
 from returnlens.llm.common import in_sample, sample_fraction
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_SHOUT = re.compile(r"\b[^\W\d_a-z]{4,}\b")
+_SHOUT = re.compile(r"\b[A-Z]{4,}\b")
 _EXCLAIM = re.compile(r"!{2,}")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 PATTERNS = 3
+#: Log likelihood that a lexicon entry must gain over chance, about the logarithm of how many entries are tried.
+MIN_GAIN = 12.0
 _DF = T.StructType([T.StructField("feature", T.StringType()), T.StructField("toxic_docs", T.LongType()), T.StructField("clean_docs", T.LongType())])
 _HITS = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("patterns", T.ArrayType(T.IntegerType()))])
 
@@ -87,59 +89,66 @@ def _document_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 own.update(features(word))
             counts[1 - int(toxic)].update(own)
         if len(counts[0]) + len(counts[1]) > 1_000_000:
-            yield _counted(counts)
+            yield from _counted(counts)
             counts = Counter(), Counter()
-    yield _counted(counts)
+    yield from _counted(counts)
 
 
-def _counted(counts: tuple[Counter, Counter]) -> pd.DataFrame:
+def _counted(counts: tuple[Counter, Counter], rows: int = 20_000) -> Iterator[pd.DataFrame]:
     names = list(counts[0].keys() | counts[1].keys())
-    return pd.DataFrame({"feature": names, "toxic_docs": [counts[0][n] for n in names], "clean_docs": [counts[1][n] for n in names]})
+    for at in range(0, len(names), rows):
+        part = names[at:at + rows]
+        yield pd.DataFrame({"feature": np.array(part, object), "toxic_docs": [counts[0][n] for n in part], "clean_docs": [counts[1][n] for n in part]})
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the toxic class, firing rates by class, correlations within classes.
+def label_model(votes: np.ndarray, sides: np.ndarray, prior: float, right: np.ndarray, wrong: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the toxic class, accuracies, correlations.
 
-    Expectation maximisation over a latent class with one firing rate per voter and class, started from ``start``. A
-    voter's evidence is divided by one plus the sum of its positive correlations with the others inside the classes.
+    ``votes`` tells which voter fires where, ``sides`` which class it then votes for; a voter that does not fire abstains.
+    Expectation maximisation over the latent class, one accuracy a voter, with ``right`` and ``wrong`` as counts known
+    beforehand. A voter moves the odds by how far its accuracy lies above the class's own share. Voters that go together
+    inside the classes tell one thing: the evidence of each is divided by one plus the sum of its near-complete
+    correlations.
     """
-    q, share = start.astype(float), np.ones(votes.shape[1])
-    corr = np.eye(votes.shape[1])
-    rates = np.full((2, votes.shape[1]), 0.5)
+    fired = votes.sum(axis=0)
+    share, corr = np.ones(votes.shape[1]), np.eye(votes.shape[1])
+    accuracy = (right + 0.5) / (right + wrong + 1.0)
+    base = np.log(prior / (1 - prior))
+    q = np.zeros(len(votes))
     for step in range(rounds):
-        for k, weight in enumerate((1 - q, q)):
-            rates[k] = (weight @ votes + 0.5) / (weight.sum() + 1.0)
-        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
+        odds = np.log(accuracy / (1 - accuracy))
+        evidence = share * np.where(sides == 1, np.maximum(odds - base, 0), -np.maximum(odds + base, 0))
+        q = 1.0 / (1.0 + np.exp(-np.clip(base + votes @ evidence, -30, 30)))
+        agreed = np.where(sides == 1, q @ votes, (1 - q) @ votes)
+        accuracy = np.clip((agreed + right + 0.5) / (fired + right + wrong + 1.0), 0.01, 0.99)
         if step % 10 == 9:
-            left = votes - (1 - q)[:, None] * rates[0] - q[:, None] * rates[1]
-            spread = np.sqrt((left * left).mean(axis=0)) + 1e-9
+            left = votes - np.outer(q, (q @ votes) / (q.sum() + 1e-9)) - np.outer(1 - q, ((1 - q) @ votes) / ((1 - q).sum() + 1e-9))
+            spread = np.sqrt((left * left).mean(axis=0)) + 1e-6
             corr = (left.T @ left) / len(votes) / np.outer(spread, spread)
-            share = 1.0 / (1.0 + np.clip(corr - np.eye(len(share)), 0, None).sum(axis=1))
-        on, off = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        logit = np.log(prior / (1 - prior)) + votes @ (share * on) + (1 - votes) @ (share * off)
-        q = 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30)))
-    return q, rates, corr
+            close = np.where(sides[:, None] == sides[None, :], np.clip(corr, 0, 1), 0)
+            np.fill_diagonal(close, 0)
+            share = 1.0 / (1.0 + np.where(close > 0.8, close, 0).sum(axis=1))
+    return q, accuracy, corr
 
 
-def linear(hits: list[list[int]], size: int, target: np.ndarray, importance: np.ndarray, steps: int = 400, sparse: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels with an L1 penalty, by accelerated proximal gradient steps."""
+def linear(hits: list[list[int]], size: int, target: np.ndarray, importance: np.ndarray, steps: int = 12, ridge: float = 0.3) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels with a ridge penalty, by Newton steps."""
     x = np.zeros((len(hits), size + 1), np.float32)
     for i, h in enumerate(hits):
         x[i, h] = 1
     x[:, size] = 1
-    scale = importance / importance.sum()
-    bound = 0.25 * float((scale * (x * x).sum(axis=1)).sum()) + 1e-6
+    scale = importance / importance.mean()
     w = np.zeros(size + 1)
-    ahead, before = w.copy(), w.copy()
-    for step in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ ahead.astype(np.float32), -30, 30)))
-        w = ahead - (x.T @ (scale * (p - target)).astype(np.float32)) / bound
-        w[:size] = np.sign(w[:size]) * np.maximum(np.abs(w[:size]) - sparse / bound, 0)
-        ahead, before = w + step / (step + 3.0) * (w - before), w
+    penalty = np.full(size + 1, ridge)
+    penalty[size] = 1e-3
+    for _ in range(steps):
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
+        curve = (x * (scale * p * (1 - p)).astype(np.float32)[:, None]).T @ x + np.diag(penalty)
+        w = w + np.linalg.solve(curve, x.T @ (scale * (target - p)) - penalty * w)
     return w[:size], float(w[size])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int = 8000, max_features: int = 1000, max_voters: int = 64, min_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int = 8000, max_features: int = 1000, max_voters: int = 300, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
     """Fit on the labelled rows where ``usable`` (over the column ``doc_id`` of the labels) holds.
 
     At most about ``max_labelled`` rows are used, half of them toxic where there are as many, chosen by hash of the id and
@@ -149,17 +158,19 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         share = 0.99 if sizes.get(1) else 0.01
-        return Model(Lexicon([]), np.zeros(0), float(np.log(share / (1 - share))), np.zeros((2, 0)), np.zeros((0, 0)))
+        return Model(Lexicon([]), np.zeros(0), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, 0)))
     kept = {k: sample_fraction(n, max_labelled // 2) for k, n in sizes.items()}
     chosen = known.where(in_sample(F.col("doc_id"), F.when(F.col("toxic") == 1, kept[1]).otherwise(kept[0])))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # About max_labelled ids, whatever the tables hold.
     rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     counts = rows.mapInPandas(_document_counts, _DF).groupBy("feature").agg(F.sum("toxic_docs").alias("a"), F.sum("clean_docs").alias("b")).where(F.col("a") + F.col("b") >= min_docs)
-    n1, n0 = sizes[1] * kept[1], sizes[0] * kept[0]
-    p1, p0 = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
-    z = (p1 - p0) / F.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0 + 1e-9)
-    best = counts.select("feature", (F.log(p1 / p0) * F.sqrt(F.col("a") + F.lit(0.5))).alias("strength"), z.alias("z")).where("z > 1.5").orderBy(F.desc("strength"), "feature").limit(max_features).collect()
+    # Counts as if no class had been sampled more sparsely than the other.
+    a, b = F.col("a") / kept[1], F.col("b") / kept[0]
+    share = sizes[1] / (sizes[0] + sizes[1])
+    gain = F.col("a") * F.log((a + 0.1) / ((a + b) * share + 0.1)) + F.col("b") * F.log((b + 0.1) / ((a + b) * (1 - share) + 0.1))
+    sure = F.col("a") / (F.col("a") + b * kept[1] + 3.84)
+    best = counts.select("feature", gain.alias("gain"), sure.alias("sure")).where((F.col("sure") >= 0.5) & (F.col("gain") >= MIN_GAIN)).orderBy(F.desc("gain"), "feature").limit(max_features).collect()
     lexicon = Lexicon([r["feature"] for r in best])
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,12 +185,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int
         votes[i, [h for h in r["hits"] if h < voters]] = 1
         votes[i, voters:voters + 2] = r["patterns"]
         votes[i, voters + 2] = not votes[i, :voters].any()
-    start = np.where(votes[:, :voters].sum(axis=1) >= 1, 0.9, 0.05)
-    posterior, rates, corr = label_model(votes, start)
+    sides = np.array([1] * (voters + 2) + [0])
     toxic = np.array([r["toxic"] for r in got])
+    right, wrong = toxic @ votes, (1 - toxic) @ votes
+    right[-1], wrong[-1] = wrong[-1], right[-1]
+    posterior, accuracies, corr = label_model(votes, sides, float(np.clip(toxic.mean(), 0.01, 0.99)), right, wrong)
     importance = np.where(toxic == 1, 1 / kept[1], 1 / kept[0])
     weights, bias = linear(found, len(best), posterior, importance)
-    return Model(lexicon, weights, bias, rates, corr)
+    return Model(lexicon, weights, bias, accuracies, corr)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -49,17 +49,20 @@ ALLOWED_WORDS = [
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The built-in table: every word alone and joined with a neighbour of its own kind, over neutral endings and paths."""
-    rows = []
+    """The built-in table: hosts of one or two words, and allowed hosts of plain syllables.
+
+    Every host appears with the same prefixes, endings and paths, so these tell the classes apart by chance nowhere.
+    """
+    around = [("", "example.com/en/12"), ("www.", "example.net/de/345.html"), ("m.", "example.org/fr/6789/"), ("blog.", "example.com/es/120"), ("", "example.net/en/7.html"), ("www.", "example.org/de/88/")]
+    hosts = []
     for words, label in ((BLOCKED_WORDS, 1), (ALLOWED_WORDS, 0)):
         for i, word in enumerate(words):
             mate = words[(7 * i + 3) % len(words)]
             neutral = ("win", "site", "farm", "shop", "x")[i % 5]
-            for k, host in enumerate((f"{word}-{mate}", f"{word}-{neutral}", f"{mate}{word}")):
-                suffix = ("example.com", "example.net", "example.org")[(i + k) % 3]
-                path = (f"/en/{i}", f"/de/{i}.html", f"/fr/{i}/", f"/es/{i}")[(i + k) % 4]
-                rows.append((f"https://{('', 'www.', 'm.')[(i + k) % 3]}{host}.{suffix}{path}", label))
-    return rows
+            hosts += [(f"{word}-{mate}", label), (f"{word}-{neutral}", label), (f"{mate}{word}", label)]
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "or", "st", "ti", "ou", "ing", "ion", "ly"]
+    hosts += [(parts[i] + parts[(3 * i + k) % 20] + parts[(i + 7 * k + 1) % 20], 0) for i in range(20) for k in range(6)]
+    return [(f"https://{before}{host}.{after}", label) for host, label in hosts for before, after in around]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
