@@ -158,7 +158,7 @@ def _rows(ids: list, held: list[np.ndarray]) -> pd.DataFrame:
     d1 = [int(np.bitwise_xor.reduce(_mix(s))) if len(s) else 0 for s in held]
     d2 = [int(_mix(s + _U(1)).sum(dtype=_U)) if len(s) else 0 for s in held]
     signed = lambda x: np.array(x, _U).view(np.int64)
-    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": [len(s) for s in held], "d1": signed(d1), "d2": signed(d2), "sketch": out})
+    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": [len(s) for s in held], "d1": signed(d1), "d2": signed(d2), "sketch": pd.Series(out, dtype=object)})
 
 
 def _agree(a: Column, b: Column) -> Column:
