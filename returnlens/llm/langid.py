@@ -116,3 +116,19 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
             yield pd.DataFrame({"doc_id": ids, "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(label, schema)
+
+
+def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text gets a language, with all their columns.
+
+    Drops null texts, texts without a letter, and every row if nothing was learned. The rows pass through as Arrow batches,
+    so ids need not be unique or present.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [profiles.predict(t)[0] != UNKNOWN for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            yield batch.filter(pa.array(found, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
