@@ -10,7 +10,7 @@ from returnlens.catalog import load
 from returnlens.catalog.panels import CUTOFF, Panels
 from returnlens.operators import assemble
 from returnlens.plans import attribution as plan
-from returnlens.session import local_session
+from returnlens.session import discard_settled, local_session
 
 HEADLINES = [
     "price_dedupe",
@@ -26,6 +26,7 @@ HEADLINES = [
     "style_descriptors_window",
     "event_evidence",
     "expanded_attribution_runs",
+    "hierarchical_attribution",
     "event_taxonomy",
     "exposure_decisions",
     "filing_choice",
@@ -63,6 +64,7 @@ def main() -> None:
         began = time.time()
         build(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - began, 3)
+    discard_settled(spark)
     total = round(sum(v for k, v in times.items() if k != "derive_panels"), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": sf_dir.rsplit("sf", 1)[-1]}))
 

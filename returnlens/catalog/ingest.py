@@ -146,9 +146,10 @@ def json_payloads(p: Panels):
 @query("price_json_feed", f"""
 SELECT concat('SEC', security_id) AS ticker, event_date, round(close, 6) AS close,
        round(CASE WHEN security_id % 2 = 0 THEN close * 2 ELSE close END, 6) AS adjusted_close, volume,
-       '{LOADED}' AS available FROM price_raw WHERE source = 'a'""")
+       '{LOADED}' AS available FROM price_raw""")
 def price_json_feed(p: Panels):
-    bars = p.price_raw.where("source = 'a'")
+    """One payload per security, source and month."""
+    bars = p.price_raw
     even = F.col("security_id") % 2 == 0
     row = F.to_json(
         F.struct(
@@ -158,7 +159,7 @@ def price_json_feed(p: Panels):
             "volume",
         )
     )
-    rows = bars.withColumn("row", row).groupBy("security_id", F.trunc("event_date", "month").alias("month")).agg(
+    rows = bars.withColumn("row", row).groupBy("security_id", "source", F.trunc("event_date", "month").alias("month")).agg(
         F.array_join(F.collect_list("row"), ",").alias("rows")
     )
     wrapped = F.when(F.col("security_id") % 3 == 0, F.concat(F.lit('{"historical": ['), "rows", F.lit("]}")))
@@ -178,45 +179,46 @@ def price_json_feed(p: Panels):
 
 @query("five_factor_csv_feed", """
 SELECT series_key AS factor_name, event_date, round(round(value / 100, 4) * 100, 4) AS return_bps
-FROM fac WHERE series_key IN ('Mkt-RF', 'SMB') AND event_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
-  AND NOT (series_key = 'SMB' AND day(event_date) = 3)""")
+FROM fac WHERE series_key IN ('Mkt-RF', 'SMB', 'HML', 'RMW', 'CMA') AND NOT (series_key = 'SMB' AND day(event_date) = 3)""")
 def five_factor_csv_feed(p: Panels):
     """One CSV per month with a preamble before the header and a footer after the data."""
-    rows = p.factor_return.where(f"factor_name IN ('Mkt-RF', 'SMB') AND timestamp_available <= TIMESTAMP_NTZ '{CUTOFF}'")
+    factors = ["Mkt-RF", "SMB", "HML", "RMW", "CMA"]
+    rows = p.factor_return.where(F.col("factor_name").isin(factors) & (F.col("timestamp_available") <= F.lit(CUTOFF).cast("timestamp_ntz")))
     wide = rows.groupBy("event_date").agg(
-        *[F.max(F.when(F.col("factor_name") == n, F.round(F.col("return_bps") / 100, 4))).alias(c)
-          for n, c in (("Mkt-RF", "mkt"), ("SMB", "smb"))]
+        *[F.max(F.when(F.col("factor_name") == n, F.round(F.col("return_bps") / 100, 4))).alias(n) for n in factors]
     )
-    cell = lambda c: F.coalesce(F.format_string("%.4f", c), F.lit(""))
-    smb = F.when(F.dayofmonth("event_date") == 3, F.lit(" -99.99")).otherwise(cell("smb"))
-    line = F.concat_ws(",", F.date_format("event_date", "yyyyMMdd"), F.concat(F.lit("  "), cell("mkt")), smb)
+    cell = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.format_string("%.4f", F.col(f"`{c}`"))).otherwise("")
+    smb = F.when(F.dayofmonth("event_date") == 3, F.lit(" -99.99")).otherwise(cell("SMB"))
+    line = F.concat_ws(",", F.date_format("event_date", "yyyyMMdd"), F.concat(F.lit("  "), cell("Mkt-RF")), smb, *[cell(c) for c in factors[2:]])
     files = wide.withColumn("line", line).groupBy(F.trunc("event_date", "month").alias("month")).agg(
         F.array_join(F.collect_list("line"), "\n").alias("body")
     )
     payloads = files.select(
-        F.concat(F.lit("Daily factors\n,note\n\n,Mkt-RF,SMB,\n"), "body", F.lit("\nCopyright, 2001\n20000101,1,1\n")).alias("payload")
+        F.concat(F.lit("Daily factors\n,note\n\n,Mkt-RF,SMB,HML,RMW,CMA\n"), "body", F.lit("\nCopyright, 2001\n20000101,1,1,1,1,1\n")).alias("payload")
     )
-    parsed = feeds.parse_five_factors(payloads, "1996-01-01", "2000-12-31", LOADED)
+    parsed = feeds.parse_five_factors(payloads, "1900-01-01", "2100-12-31", LOADED)
     return parsed.select("factor_name", "event_date", F.round("return_bps", 4).alias("return_bps"))
 
 
 @query("macro_csv_feed", """
-SELECT series_name, event_date, value FROM mac WHERE series_name IN ('DGS10', 'VIXCLS') AND event_date BETWEEN DATE '1996-01-01'
-  AND DATE '1999-12-31' AND day(event_date) <> 5 AND day(event_date) <> 6""")
+SELECT series_name, event_date, value FROM mac WHERE day(event_date) <> 5 AND day(event_date) <> 6 AND series_name <> 'DGS2'
+UNION ALL SELECT series_name, CAST(event_date AS DATE), value FROM macro_series WHERE series_name = 'DGS2' AND vintage IS NULL
+  AND timestamp_available <= TIMESTAMP '2001-06-01 00:00:00' AND day(event_date) <> 5 AND day(event_date) <> 6""")
 def macro_csv_feed(p: Panels):
-    seen = p.macro_series.where(
-        f"series_name IN ('DGS10', 'VIXCLS') AND timestamp_available <= TIMESTAMP_NTZ '{CUTOFF}'"
-    )
+    """Every series in one of two layouts: the newer one names its value column after the series."""
+    seen = p.macro_series.where((F.col("timestamp_available") <= F.lit(CUTOFF).cast("timestamp_ntz")) & F.col("vintage").isNull())
     day = F.dayofmonth("event_date")
     text = F.when(day == 5, ".").when(day == 6, "").otherwise(F.col("value").cast("string"))
+    newer = ["DGS10", "DGS2", "T5YIE"]
+    when = F.col("event_date").cast("string")
     raw = seen.select(
         "series_name",
-        F.when(F.col("series_name") == "DGS10", F.col("event_date").cast("string")).alias("observation_date"),
-        F.when(F.col("series_name") == "VIXCLS", F.col("event_date").cast("string")).alias("DATE"),
-        F.when(F.col("series_name") == "DGS10", text).alias("DGS10"),
-        F.when(F.col("series_name") == "VIXCLS", text).alias("VALUE"),
+        F.when(F.col("series_name").isin(newer), when).alias("observation_date"),
+        F.when(~F.col("series_name").isin(newer), when).alias("DATE"),
+        *[F.when(F.col("series_name") == n, text).alias(n) for n in newer],
+        F.when(~F.col("series_name").isin(newer), text).alias("VALUE"),
     )
-    return feeds.parse_macro(raw, "1996-01-01", "1999-12-31", LOADED).select("series_name", "event_date", "value")
+    return feeds.parse_macro(raw, "1900-01-01", "2100-12-31", LOADED).select("series_name", "event_date", "value")
 
 
 @query("submissions_feed", f"""
@@ -225,7 +227,7 @@ SELECT lpad(CAST(company_id AS VARCHAR), 10, '0') AS cik, event_type AS form, so
        CASE WHEN event_id % 2 = 0 THEN strftime(date_trunc('second', event_time), '%Y-%m-%d %H:%M:%S') ELSE '{LOADED}' END AS available
 FROM event""")
 def submissions_feed(p: Panels):
-    """One payload per company and hour with the parallel lists of the filing index."""
+    """Payloads with the parallel lists of the filing index, at most 2,000 filings of one company in each."""
     when = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     item = F.struct(
         F.col("event_type").alias("form"),
@@ -233,7 +235,7 @@ def submissions_feed(p: Panels):
         F.col("event_time").cast("date").cast("string").alias("filingDate"),
         F.when(F.col("event_id") % 2 == 0, when).otherwise("").alias("acceptanceDateTime"),
     )
-    lists = p.event.groupBy("company_id", F.date_format("event_time", "yyyyMMddHH").alias("hour")).agg(
+    lists = p.event.groupBy("company_id", F.floor(F.col("event_id") / 2000).alias("page")).agg(
         F.collect_list(item).alias("items")
     )
     recent = F.struct(*[F.col(f"items.{n}").alias(n) for n in ("form", "accessionNumber", "filingDate", "acceptanceDateTime")])
@@ -501,7 +503,8 @@ SELECT f.accession_number AS source_id, h.security_id, strftime(TIMESTAMP '2000-
        concat(substr(m, 1, 8), '-', substr(m, 9, 4), '-', substr(m, 13, 4), '-', substr(m, 17, 4), '-', substr(m, 21, 12)) AS event_id
 FROM (SELECT *, md5(concat('filings:', accession_number)) AS m FROM chosen_filings) f
 JOIN (SELECT ticker, security_id FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY active_from DESC, security_id) AS rn
-      FROM ticker_history WHERE active_to IS NULL) t WHERE rn = 1) h ON h.ticker = f.chosen""")
+      FROM ticker_history WHERE active_to IS NULL) t WHERE rn = 1) h ON h.ticker = f.chosen
+JOIN security s ON s.security_id = h.security_id""")
 def filing_events(p: Panels):
     good = filings.valid(checked(p))
     made = filings.promote_filings(

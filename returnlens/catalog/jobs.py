@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from returnlens.catalog.core import seen_bars
 from returnlens.catalog.panels import Panels
 from returnlens.catalog.registry import query
-from returnlens.catalog.runs import fixed, stored
+from returnlens.catalog.runs import METRICS_SQL, fixed, shown_metrics, stored
 from returnlens.operators import events, reports, universe, windows
 from returnlens.operators.pit import active_ticker_map
 from returnlens.plans import mapping
@@ -120,24 +120,26 @@ def refreshed_event_features(p: Panels):
 
 
 @query("exposure_review_job", """
-SELECT company_id, exposure_name, count(*) FILTER (WHERE review OR (reviews = 0 AND rn <= 3)) AS evidence_rows FROM (
+SELECT company_id, exposure_name, event_id, CASE WHEN reviews >= 2 OR highs > 0 THEN 'candidate_review' ELSE 'no_update' END AS decision FROM (
   SELECT *, count(*) FILTER (WHERE review) OVER (PARTITION BY company_id, exposure_name) AS reviews,
-         row_number() OVER (PARTITION BY company_id, exposure_name ORDER BY timestamp_available, event_id) AS rn FROM exposure_votes) v GROUP BY 1, 2""")
+         count(*) FILTER (WHERE high) OVER (PARTITION BY company_id, exposure_name) AS highs,
+         row_number() OVER (PARTITION BY company_id, exposure_name ORDER BY timestamp_available, event_id) AS rn FROM exposure_votes) v
+WHERE review OR (reviews = 0 AND rn <= 3)""")
 def exposure_review_job(p: Panels):
     decisions, evidence = mapping.review_exposures(events.event_features(p.event), p.event, "2000-01-20 00:00:00", 5)
-    counts = evidence.groupBy("company_id", "exposure_name").agg(F.count("*").alias("evidence_rows"))
-    return decisions.select("company_id", "exposure_name").join(counts, ["company_id", "exposure_name"])
+    keys = ["company_id", "exposure_name"]
+    return evidence.join(decisions.select(*keys, "decision"), keys).select(*keys, "event_id", "decision")
 
 
 @query("run_lookup", """
 SELECT h.ticker, r.window_start, r.window_end, c.driver, CAST(round(CAST(c.contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps
-FROM (SELECT * FROM run_market WHERE security_id = 3 AND cadence = 'weekly' ORDER BY window_end DESC LIMIT 1) r
-JOIN part_market c ON c.security_id = r.security_id AND c.cadence = r.cadence AND c.window_start = r.window_start AND c.window_end = r.window_end
+FROM (SELECT * FROM run_expanded WHERE security_id = 3 AND cadence = 'weekly' ORDER BY window_end DESC LIMIT 1) r
+JOIN part_expanded c ON c.security_id = r.security_id AND c.cadence = r.cadence AND c.window_start = r.window_start AND c.window_end = r.window_end
 JOIN (SELECT ticker, security_id FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY active_from DESC, security_id) AS rn
       FROM ticker_history WHERE active_to IS NULL) t WHERE rn = 1) h ON h.security_id = r.security_id""")
 def run_lookup(p: Panels):
     """Latest weekly run of one ticker with its contributions."""
-    runs, parts = stored(p, expanded=False)
+    runs, parts = stored(p)
     owner = active_ticker_map(p.ticker_history).where("ticker = 'NATION_3'").select("security_id")
     latest = universe.latest_runs(runs.join(owner, "security_id", "left_semi"), "weekly", by_window=False)
     found = universe.active_security_of(reports.run_details(latest, parts), p.ticker_history)
@@ -153,12 +155,60 @@ def coverage_success(p: Panels):
     return reports.coverage_success(report)
 
 
-@query("metrics_file", """
-SELECT 'factor-baseline-v0' AS model_version, count(*) AS runs FROM run_market""")
+@query("metrics_file", METRICS_SQL)
 def metrics_file(p: Panels):
     """Methodology metrics written as JSON and read back."""
-    from returnlens.session import checkpoint_dir
-
-    path = f"{checkpoint_dir(p.spark)}/returnlens/metrics-{p.spark.sparkContext.applicationId}"
-    reports.write_metrics(reports.methodology_metrics(*stored(p, expanded=False)), path)
-    return p.spark.read.schema("model_version string, runs long").json(path)
+    from returnlens.session import scratch_path
+
+    path = scratch_path(p.spark, "metrics")
+    metrics = reports.methodology_metrics(*stored(p))
+    reports.write_metrics(metrics, path)
+    return shown_metrics(p.spark.read.schema(metrics.schema).json(path))
+
+
+@query("promoted_filing_features", """
+SELECT accession_number AS source_id, CAST(1.0 AS DOUBLE) AS source_credibility
+FROM chosen_filings f JOIN (SELECT ticker, security_id FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY active_from DESC, security_id) AS rn
+      FROM ticker_history WHERE active_to IS NULL) t WHERE rn = 1) h ON h.ticker = f.chosen JOIN security s ON s.security_id = h.security_id""")
+def promoted_filing_features(p: Panels):
+    """Features of promoted filings, whose source counts as official."""
+    from returnlens.catalog.ingest import checked
+    from returnlens.sources import filings
+
+    good = filings.valid(checked(p))
+    promoted = filings.promote_filings(filings.choose_filings(good), filings.accession_aliases(good), p.security, p.ticker_history, "filings")
+    made = mapping.refresh_event_features(promoted, events.event_features(promoted).limit(0), "filings")
+    named = F.regexp_extract("evidence_span", "accession=(.*)$", 1)
+    return made.select(named.alias("source_id"), F.col("source_credibility").cast("double").alias("source_credibility"))
+
+
+@query("monthly_price_store", """
+SELECT security_id, event_date, source, round(CASE WHEN event_date >= DATE '1998-01-01' THEN close * 2 ELSE close END, 6) AS close FROM price_raw""")
+def monthly_price_store(p: Panels):
+    """A table written by month, months of it written again, and read back."""
+    from returnlens.operators import upsert
+    from returnlens.session import scratch_path
+
+    path = scratch_path(p.spark, "prices")
+    upsert.write_by_month(p.price_raw, path)
+    upsert.write_by_month(p.price_raw.where("event_date >= DATE '1998-01-01'").withColumn("close", F.col("close") * 2), path)
+    return p.spark.read.parquet(path).select("security_id", "event_date", "source", F.round("close", 6).alias("close"))
+
+
+@query("style_exposures", """
+SELECT security_id, substr(d.name, 19, length(d.name) - 19) AS factor_name, window_end AS as_of, count(*) AS rows FROM (
+  SELECT security_id, window_end, unnest(['Style descriptor (momentum)', 'Style descriptor (short_term_reversal)',
+    'Style descriptor (realized_volatility)', 'Style descriptor (liquidity)']) AS name FROM (
+    SELECT w.security_id, w.window_end FROM win w JOIN bars b ON b.security_id = w.security_id AND b.event_date >= w.window_start - 252
+     AND b.event_date <= w.window_end WHERE w.cadence = 'monthly' GROUP BY w.security_id, w.window_start, w.window_end HAVING count(*) >= 21) s) d
+GROUP BY ALL""")
+def style_exposures(p: Panels):
+    """Exposure rows of the monthly windows' style descriptors."""
+    from returnlens.catalog.core import LOOKBACK, prepared
+    from returnlens.operators import style
+
+    ready = prepared(p)
+    keys = ["security_id", "cadence", "window_start", "window_end", "observed_return_bps"]
+    found = style.window_descriptors(ready.windows.where("cadence = 'monthly'").select(*keys), ready.bars, LOOKBACK)
+    rows = style.exposures_from_descriptors(found.withColumn("as_of", F.col("window_end")), F.col("as_of").cast("timestamp_ntz"))
+    return rows.groupBy("security_id", "factor_name", F.col("event_time").cast("date").alias("as_of")).agg(F.count("*").alias("rows"))

@@ -89,7 +89,7 @@ WHERE move IS NOT NULL GROUP BY event_date"""
 PANELS["part_halves"] = """
 SELECT p_partkey AS partkey,
        CASE WHEN p_size <= 25 THEN 1 ELSE 0 END AS smb,
-       CASE WHEN p_retailprice <= (SELECT median(p_retailprice) FROM {part}) THEN 1 ELSE 0 END AS hml,
+       CASE WHEN p_retailprice <= (SELECT avg(p_retailprice) FROM {part}) THEN 1 ELSE 0 END AS hml,
        CASE WHEN CAST(split_part(p_brand, '#', 2) AS INT) % 2 = 0 THEN 1 ELSE 0 END AS rmw,
        CASE WHEN p_type IN (SELECT p_type FROM (SELECT DISTINCT p_type FROM {part}) t ORDER BY p_type LIMIT 3)
             THEN 1 ELSE 0 END AS cma

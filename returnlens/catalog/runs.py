@@ -143,17 +143,17 @@ def with_key(runs, parts):
     return parts.join(runs.select("attribution_run_id", *windows.WINDOW, "observed_return_bps"), "attribution_run_id")
 
 
+def copies(runs, parts):
+    """Contribution rows by window with how often each occurs."""
+    shown = with_key(runs, parts).select(*windows.WINDOW, "driver", "name", fixed("contribution_bps", 6, 3))
+    return shown.groupBy(*windows.WINDOW, "driver", "name", "contribution_bps").agg(F.count("*").alias("copies"))
+
+
 @query("expanded_attribution_contributions", """
 SELECT security_id, cadence, window_start, window_end, driver, name, CAST(round(CAST(contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps,
        count(*) AS copies FROM part_expanded GROUP BY ALL""")
 def expanded_attribution_contributions(p: Panels):
-    runs, parts = stored(p)
-    return (
-        with_key(runs, parts)
-        .select(*windows.WINDOW, "driver", "name", fixed("contribution_bps", 6, 3))
-        .groupBy(*windows.WINDOW, "driver", "name", "contribution_bps")
-        .agg(F.count("*").alias("copies"))
-    )
+    return copies(*stored(p))
 
 
 @query("share_diagnostics", """
@@ -250,17 +250,48 @@ def contribution_order(p: Panels):
 
 
 @query("reconciliation_check", """
-SELECT CAST(NULL AS VARCHAR) AS attribution_run_id, CAST(NULL AS VARCHAR) AS problem FROM region WHERE false""")
+SELECT security_id, cadence, window_start, window_end, CASE security_id % 5 WHEN 0 THEN 'does not reconcile'
+       WHEN 1 THEN 'needs exactly one residual row' ELSE 'residual field differs' END AS problem
+FROM win WHERE cadence <> 'daily' AND security_id % 5 <= 2""")
 def reconciliation_check(p: Panels):
+    """Faults of three kinds, planted into the weekly and monthly runs, and found again."""
     runs, parts = stored(p)
-    return quality.reconciliation_breaks(runs, parts).select("attribution_run_id", "problem")
+    kind = F.when(F.col("cadence") != "daily", F.col("security_id") % 5)
+    observed = F.col("observed_return_bps") + F.when(kind == 0, 2.0).otherwise(0.0)
+    field = F.col("unexplained_residual_bps") + F.when(kind == 2, 0.5).otherwise(0.0)
+    broken = runs.withColumn("observed_return_bps", observed).withColumn("unexplained_residual_bps", field)
+    twice = parts.where("driver = 'unexplained_residual'").join(runs.where(kind == 1).select("attribution_run_id"), "attribution_run_id")
+    doubled = parts.unionByName(twice.withColumn("contribution_bps", F.lit(0.0)).select(*parts.columns))
+    found = quality.reconciliation_breaks(broken, doubled).select("attribution_run_id", "problem")
+    return found.join(runs.select("attribution_run_id", *windows.WINDOW), "attribution_run_id").select(*windows.WINDOW, "problem")
 
 
 @query("lookahead_audit", """
-SELECT CAST(NULL AS VARCHAR) AS attribution_run_id, CAST(NULL AS VARCHAR) AS name FROM region WHERE false""")
+SELECT security_id, cadence, window_start, window_end, 'Unexplained residual' AS name,
+       CASE security_id % 3 WHEN 0 THEN '2001-06-01 02:00:00' ELSE '2001-06-01 00:30:00' END AS stated_available
+FROM win WHERE cadence = 'monthly' AND security_id % 3 <> 1""")
 def lookahead_audit(p: Panels):
+    """Availabilities stated in three ways are planted into the residual rows of monthly runs; two lie after the cutoff."""
     runs, parts = stored(p)
-    return quality.lookahead_breaks(runs, parts).select("attribution_run_id", "name")
+    monthly = runs.where("cadence = 'monthly'").select("attribution_run_id", (F.col("security_id") % 3).alias("kind"))
+    stated = F.when(F.col("kind") == 0, "2001-06-01T02:00:00Z").when(F.col("kind") == 1, "2001-05-31T23:00:00Z").otherwise("2001-05-31T22:30:00-02:00")
+    payload = F.when(F.col("driver") == "unexplained_residual", F.to_json(F.struct(stated.alias("timestamp_available")))).otherwise(F.col("evidence_payload"))
+    planted = parts.join(monthly, "attribution_run_id").withColumn("evidence_payload", payload)
+    found = quality.lookahead_breaks(runs, planted).select("attribution_run_id", "name", "stated_available")
+    return found.join(runs.select("attribution_run_id", *windows.WINDOW), "attribution_run_id").select(
+        *windows.WINDOW, "name", F.date_format("stated_available", "yyyy-MM-dd HH:mm:ss").alias("stated_available")
+    )
+
+
+@query("driver_order_audit", """
+SELECT security_id, cadence, window_start, window_end, name FROM part_expanded WHERE cadence = 'monthly' AND driver = 'sector' AND security_id % 4 = 0""")
+def driver_order_audit(p: Panels):
+    """Rows of a driver outside the known order, planted into the sector rows of a quarter of the securities."""
+    runs, parts = stored(p)
+    keyed = with_key(runs.where("cadence = 'monthly'"), parts)
+    strange = (F.col("driver") == "sector") & (F.col("security_id") % 4 == 0)
+    found = quality.driver_order_breaks(keyed.withColumn("driver", F.when(strange, "hearsay").otherwise(F.col("driver"))))
+    return found.select(*windows.WINDOW, "name")
 
 
 @query("input_availability_audit", """
@@ -301,41 +332,39 @@ def insert_absent_tickers(p: Panels):
 
 
 @query("store_attribution_results", """
-SELECT cadence, count(*) AS contribution_rows, count(DISTINCT concat(security_id, '|', window_start, '|', window_end)) AS run_rows
-FROM part_market GROUP BY cadence""")
+SELECT security_id, cadence, window_start, window_end, driver, name, CAST(round(CAST(contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps,
+       count(*) AS copies FROM part_expanded GROUP BY ALL""")
 def store_attribution_results(p: Panels):
     """Writing the same results over themselves leaves one copy of every run and contribution."""
-    runs, parts = stored(p, expanded=False)
-    kept_runs, kept_parts = upsert.store_results(runs, parts, runs.where("security_id % 2 = 0"), parts.join(
-        runs.where("security_id % 2 = 0").select("attribution_run_id"), "attribution_run_id", "left_semi"))
-    return (
-        kept_parts.join(kept_runs.select("attribution_run_id", "cadence"), "attribution_run_id")
-        .groupBy("cadence")
-        .agg(F.count("*").alias("contribution_rows"), F.count_distinct("attribution_run_id").alias("run_rows"))
+    runs, parts = stored(p)
+    again = runs.where("security_id % 2 = 0")
+    kept_runs, kept_parts = upsert.store_results(
+        runs, parts, again, parts.join(again.select("attribution_run_id"), "attribution_run_id", "left_semi")
     )
+    return copies(kept_runs, kept_parts)
 
 
 @query("resume_backfill", """
-SELECT cadence, count(*) AS windows FROM win WHERE security_id % 2 = 1 GROUP BY cadence""")
+SELECT security_id, cadence, window_start, window_end, driver, name, CAST(round(CAST(contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps,
+       count(*) AS copies FROM part_expanded WHERE security_id % 2 = 1 GROUP BY ALL""")
 def resume_backfill(p: Panels):
+    """The windows a half-filled store does not hold, attributed."""
     runs, _ = stored(p)
-    model, basket = METHODOLOGIES["legacy"]
-    left = windows.not_yet_run(prepared(p).windows, runs.where("security_id % 2 = 0"), model, basket)
-    return left.groupBy("cadence").agg(F.count("*").alias("windows"))
+    return copies(*plan.resume(market_data(p), settings(), runs.where("security_id % 2 = 0")))
 
 
-@query("methodology_metrics", """
+METRICS_SQL = """
 SELECT 'factor-baseline-v0' AS model_version, count(*) AS runs, count(*) FILTER (WHERE abs(observed_return_bps) >= 25) AS stable_runs,
        round(avg(abs(unexplained_residual_bps)), 4) AS residual_mae_bps,
        round(sqrt(avg(unexplained_residual_bps * unexplained_residual_bps)), 4) AS residual_rmse_bps,
        round(sum(abs(unexplained_residual_bps)) FILTER (WHERE abs(observed_return_bps) >= 25)
              / sum(abs(observed_return_bps)) FILTER (WHERE abs(observed_return_bps) >= 25), 6) AS weighted_abs_residual_share,
-       round(list_sort(list(round(gross_bps / greatest(abs(observed_return_bps), 25.0), 6)))[CAST(round_even((count(*) - 1) * 0.95, 0) AS BIGINT) + 1], 4) AS gross_leverage_p95,
-       round(list_sort(list(round(abs(unexplained_residual_bps) / greatest(abs(observed_return_bps), 25.0), 6)))[CAST(round_even((count(*) - 1) * 0.95, 0) AS BIGINT) + 1], 4) AS residual_leverage_p95
-FROM run_market""")
-def methodology_metrics(p: Panels):
-    runs, parts = stored(p, expanded=False)
-    m = reports.methodology_metrics(runs, parts)
+       round(list_sort(list(gross_bps / greatest(abs(observed_return_bps), 25.0)))[CAST(round_even((count(*) - 1) * 0.95, 0) AS BIGINT) + 1], 4) AS gross_leverage_p95,
+       round(list_sort(list(abs(unexplained_residual_bps) / greatest(abs(observed_return_bps), 25.0)))[CAST(round_even((count(*) - 1) * 0.95, 0) AS BIGINT) + 1], 4) AS residual_leverage_p95
+FROM run_expanded"""
+
+
+def shown_metrics(m):
     four = ["residual_mae_bps", "residual_rmse_bps", "gross_leverage_p95", "residual_leverage_p95"]
     return m.select(
         "model_version",
@@ -346,25 +375,30 @@ def methodology_metrics(p: Panels):
     )
 
 
+@query("methodology_metrics", METRICS_SQL)
+def methodology_metrics(p: Panels):
+    return shown_metrics(reports.methodology_metrics(*stored(p)))
+
+
 def members(p: Panels):
     return p.security.withColumnRenamed("legal_name", "company_name").drop("sector", "industry")
 
 
 @query("run_narratives", """
 SELECT t.security_id, t.cadence, t.window_start, t.window_end, concat(
-  'Observed move was ', format('{:.1f}', round(observed_return_bps, 1)), ' bps over the selected window. ',
+  'Observed move was ', format('{:.1f}', observed_return_bps), ' bps over the selected window. ',
   CASE WHEN top IS NULL THEN 'No production factor rows were available, so the move remains residual-driven.'
        ELSE concat('Largest modeled drivers were ', top, '.') END,
-  CASE WHEN abs(observed_return_bps) >= 25 THEN concat(' Unexplained residual was ', format('{:.1f}', round(unexplained_residual_bps, 1)),
+  CASE WHEN abs(observed_return_bps) >= 25 THEN concat(' Unexplained residual was ', format('{:.1f}', unexplained_residual_bps),
          ' bps, which is ', CASE WHEN abs(unexplained_residual_bps) / abs(observed_return_bps) > 0.5 THEN 'large' ELSE 'contained' END,
          ' relative to the move.')
-       ELSE concat(' Unexplained residual was ', format('{:.1f}', round(unexplained_residual_bps, 1)),
+       ELSE concat(' Unexplained residual was ', format('{:.1f}', unexplained_residual_bps),
          ' bps; share percentages are unstable for this small observed move.') END,
   CASE WHEN events > 0 THEN concat(' ', events, ' visible event evidence row(s) were attached but not assigned causal contribution.')
        ELSE '' END) AS narrative
 FROM run_expanded t LEFT JOIN (
   SELECT security_id, cadence, window_start, window_end,
-         string_agg(concat(name, ' (', format('{:.1f}', round(contribution_bps, 1)), ' bps)'), ', ' ORDER BY rn) AS top
+         string_agg(concat(name, ' (', format('{:.1f}', contribution_bps), ' bps)'), ', ' ORDER BY rn) AS top
   FROM (SELECT *, row_number() OVER (PARTITION BY security_id, cadence, window_start, window_end
           ORDER BY abs(contribution_bps) DESC, CASE driver WHEN 'market' THEN 0 WHEN 'sector' THEN 1 WHEN 'peer' THEN 2
             WHEN 'style' THEN 3 WHEN 'macro' THEN 4 ELSE 6 END, name) AS rn
@@ -379,10 +413,10 @@ def run_narratives(p: Panels):
 @query("run_details", """
 SELECT r.security_id, r.cadence, r.window_start, r.window_end, c.driver, c.name, CAST(round(CAST(c.contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps,
        CASE WHEN abs(r.observed_return_bps) >= 25 THEN CAST(round(CAST(c.share_of_move AS DECIMAL(24, 8)), 5) AS DOUBLE) END AS share_of_move
-FROM run_market r LEFT JOIN part_market c ON c.security_id = r.security_id AND c.cadence = r.cadence
+FROM run_expanded r LEFT JOIN part_expanded c ON c.security_id = r.security_id AND c.cadence = r.cadence
  AND c.window_start = r.window_start AND c.window_end = r.window_end""")
 def run_details(p: Panels):
-    return reports.run_details(*stored(p, expanded=False)).select(
+    return reports.run_details(*stored(p)).select(
         *windows.WINDOW,
         "driver",
         "name",
@@ -393,10 +427,10 @@ def run_details(p: Panels):
 
 @query("run_history", """
 SELECT security_id, window_start, window_end, round(observed_return_bps, 4) AS observed_return_bps FROM run_market
-WHERE cadence = 'monthly' AND security_id = 3 ORDER BY window_end DESC LIMIT 50""")
+WHERE cadence = 'daily' AND security_id = 3 ORDER BY window_end DESC LIMIT 300""")
 def run_history(p: Panels):
     runs, _ = stored(p, expanded=False)
-    return reports.run_history(runs.where("security_id = 3"), 50, "monthly").select(
+    return reports.run_history(runs.where("security_id = 3"), 300, "daily").select(
         "security_id", "window_start", "window_end", F.round("observed_return_bps", 4).alias("observed_return_bps")
     )
 
@@ -415,20 +449,22 @@ SELECT s.security_id, s.ticker, s.legal_name AS company_name, s.exchange, k.sect
        CASE WHEN r.security_id IS NULL THEN 'missing' ELSE 'available' END AS run_status
 FROM security s
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY window_end DESC) AS rn
-           FROM run_market WHERE cadence = 'daily') x WHERE rn = 1) r ON r.security_id = s.security_id
+           FROM run_expanded WHERE cadence = 'daily') x WHERE rn = 1) r ON r.security_id = s.security_id
 LEFT JOIN bars b ON b.security_id = r.security_id AND b.event_date = r.window_start
 LEFT JOIN bars e ON e.security_id = r.security_id AND e.event_date = r.window_end
 LEFT JOIN (SELECT security_id, window_start, window_end, count(*) AS contribution_count,
-                  count(*) FILTER (WHERE driver = 'market') AS evidence_count FROM part_market WHERE cadence = 'daily'
+                  count(*) FILTER (WHERE driver <> 'unexplained_residual') AS evidence_count FROM part_expanded WHERE cadence = 'daily'
            GROUP BY ALL) n ON n.security_id = r.security_id AND n.window_start = r.window_start AND n.window_end = r.window_end
-LEFT JOIN (SELECT * FROM part_market WHERE cadence = 'daily' AND driver = 'market') t
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY security_id, window_start, window_end ORDER BY abs(contribution_bps) DESC,
+             CASE driver WHEN 'market' THEN 0 WHEN 'sector' THEN 1 WHEN 'peer' THEN 2 WHEN 'style' THEN 3 WHEN 'macro' THEN 4 ELSE 6 END, name) AS rn
+           FROM part_expanded WHERE cadence = 'daily' AND driver <> 'unexplained_residual') z WHERE rn = 1) t
   ON t.security_id = r.security_id AND t.window_start = r.window_start AND t.window_end = r.window_end
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY timestamp_available DESC, event_date DESC) AS rn
            FROM classification) y WHERE rn = 1) k ON k.security_id = s.security_id"""
 
 
 def summary_rows(p: Panels):
-    runs, parts = stored(p, expanded=False)
+    runs, parts = stored(p)
     return universe.summaries(members(p), runs, parts, p.classification, p.price_raw, CUTOFF)
 
 
@@ -470,6 +506,11 @@ def universe_page(p: Panels):
     )
 
 
+@query("universe_total", "SELECT count(*) AS total FROM summary_rows WHERE run_status = 'available' AND upper(exchange) = 'NASDAQ'")
+def universe_total(p: Panels):
+    return universe.page_total(universe.filter_universe(summary_rows(p), exchange="nasdaq", status="available"))
+
+
 @query("universe_filter", """
 SELECT ticker, sector, exchange FROM summary_rows
 WHERE (upper(ticker) LIKE '%ION_1%' OR upper(company_name) LIKE '%ION_1%') AND upper(exchange) = 'NASDAQ' AND run_status = 'available'""")
@@ -526,14 +567,14 @@ FROM chart_bars"""
 STEPS["chart_rows"] = """
 SELECT c.security_id, c.window_end AS event_date, c.driver, c.name, c.contribution_bps / 100 AS contribution_pct,
        CASE WHEN abs(r.observed_return_bps) >= 25 THEN c.share_of_move END AS share_of_move
-FROM part_market c JOIN run_market r ON r.security_id = c.security_id AND r.cadence = c.cadence
+FROM part_expanded c JOIN run_expanded r ON r.security_id = c.security_id AND r.cadence = c.cadence
  AND r.window_start = c.window_start AND r.window_end = c.window_end
 JOIN (SELECT security_id, max(event_date) AS chart_end FROM price_raw GROUP BY 1) m ON m.security_id = c.security_id
 WHERE c.cadence = 'weekly' AND c.window_end BETWEEN m.chart_end - 366 AND m.chart_end"""
 
 
 def chart(p: Panels):
-    runs, parts = stored(p, expanded=False)
+    runs, parts = stored(p)
     bounds = reports.chart_bounds(p.price_raw, "1y")
     return reports.chart_prices(p.price_raw, bounds), reports.chart_points(runs, parts, bounds, "1y")
 
@@ -561,24 +602,28 @@ def chart_points(p: Panels):
 
 
 @query("chart_driver_order", """
-SELECT security_id, driver, row_number() OVER (PARTITION BY security_id ORDER BY CASE driver WHEN 'market' THEN 1 ELSE 9 END) AS position
+SELECT security_id, driver, row_number() OVER (PARTITION BY security_id ORDER BY CASE driver WHEN 'market' THEN 1 WHEN 'sector' THEN 2 WHEN 'peer' THEN 4 WHEN 'style' THEN 5 WHEN 'macro' THEN 6 WHEN 'event' THEN 8 ELSE 9 END) AS position
 FROM (SELECT DISTINCT security_id, driver FROM chart_rows) d""")
 def chart_driver_order(p: Panels):
     return reports.driver_order(chart(p)[1], ["security_id"]).select("security_id", "driver", "position")
 
 
 @query("chart_period_sums", """
-SELECT security_id, event_date, driver, round(sum(contribution_pct), 4) AS period_pct FROM chart_rows GROUP BY ALL""")
+SELECT security_id, event_date, driver, CAST(round(CAST(sum(contribution_pct) AS DECIMAL(24, 8)), 4) AS DOUBLE) AS period_pct FROM chart_rows GROUP BY ALL""")
 def chart_period_sums(p: Panels):
     return reports.period_sums(chart(p)[1]).select(
-        "security_id", "event_date", "driver", F.round("period_pct", 4).alias("period_pct")
+        "security_id", "event_date", "driver", fixed("period_pct", 8, 4)
     )
 
 
-@query("chart_bands", """
-SELECT security_id, event_date, driver, round(net_pct, 4) AS net_pct, round(pos_to - up, 4) AS positive_from, round(pos_to, 4) AS positive_to,
-       round(neg_to, 4) AS negative_from, round(neg_to - down, 4) AS negative_to,
-       CASE WHEN abs(border) > 0.000001 THEN round(border, 4) END AS opposite_border_pct
+def _cell(value: str) -> str:
+    return f"CAST(round(CAST({value} AS DECIMAL(24, 8)), 4) AS DOUBLE)"
+
+
+@query("chart_bands", f"""
+SELECT security_id, event_date, driver, {_cell('net_pct')} AS net_pct, {_cell('pos_to - up')} AS positive_from, {_cell('pos_to')} AS positive_to,
+       {_cell('neg_to')} AS negative_from, {_cell('neg_to - down')} AS negative_to,
+       CASE WHEN abs(border) > 0.000001 THEN {_cell('border')} END AS opposite_border_pct
 FROM (SELECT *, sum(up) OVER w AS pos_to, sum(down) OVER w AS neg_to,
         CASE WHEN cumulative_return_pct >= 0 THEN sum(down) OVER d ELSE sum(up) OVER d END AS border
       FROM (SELECT *, CASE WHEN net_pct > 0.000001 THEN net_pct ELSE 0.0 END AS up,
@@ -588,13 +633,13 @@ FROM (SELECT *, sum(up) OVER w AS pos_to, sum(down) OVER w AS neg_to,
                   FROM chart_path c JOIN (SELECT DISTINCT security_id, driver FROM chart_rows) o ON o.security_id = c.security_id
                   LEFT JOIN (SELECT security_id, event_date, driver, sum(contribution_pct) AS period_pct FROM chart_rows GROUP BY ALL) s
                     ON s.security_id = c.security_id AND s.event_date = c.event_date AND s.driver = o.driver) n) u
-      WINDOW w AS (PARTITION BY security_id, event_date ORDER BY CASE driver WHEN 'market' THEN 1 ELSE 9 END),
+      WINDOW w AS (PARTITION BY security_id, event_date ORDER BY CASE driver WHEN 'market' THEN 1 WHEN 'sector' THEN 2 WHEN 'peer' THEN 4 WHEN 'style' THEN 5 WHEN 'macro' THEN 6 WHEN 'event' THEN 8 ELSE 9 END),
              d AS (PARTITION BY security_id, event_date)) b""")
 def chart_bands(p: Panels):
     prices, points = chart(p)
     bands = reports.stacked_bands(points, prices)
     values = ["net_pct", "positive_from", "positive_to", "negative_from", "negative_to", "opposite_border_pct"]
-    return bands.select("security_id", "event_date", "driver", *[F.round(v, 4).alias(v) for v in values])
+    return bands.select("security_id", "event_date", "driver", *[fixed(v, 8, 4) for v in values])
 
 
 @query("average_shares", """
@@ -615,32 +660,38 @@ def chart_selection(p: Panels):
 
 
 @query("driver_table", """
-SELECT driver, name, CAST(round(CAST(contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps, count(*) AS rows FROM part_market
+SELECT driver, name, CAST(round(CAST(contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps, count(*) AS rows FROM part_expanded
 WHERE driver = 'market' GROUP BY ALL""")
 def driver_table(p: Panels):
-    rows = reports.driver_table(stored(p, expanded=False)[1], "market")
+    rows = reports.driver_table(stored(p)[1], "market")
     return rows.groupBy("driver", "name", fixed("contribution_bps", 6, 3)).agg(
         F.count("*").alias("rows")
     )
 
 
 @query("driver_export", """
-SELECT driver, count(*) AS rows, count(*) FILTER (WHERE abs(observed_return_bps) < 25) AS blank_shares
-FROM (SELECT c.driver, r.observed_return_bps FROM part_market c JOIN run_market r ON r.security_id = c.security_id
-      AND r.cadence = c.cadence AND r.window_start = c.window_start AND r.window_end = c.window_end) x GROUP BY driver""")
+SELECT c.security_id, c.cadence, c.window_start, c.window_end, c.driver, c.name,
+       CAST(round(CAST(c.contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps,
+       CASE WHEN abs(r.observed_return_bps) >= 25 THEN CAST(round(CAST(c.share_of_move AS DECIMAL(24, 8)), 5) AS DOUBLE) END AS share_of_move,
+       count(*) AS copies
+FROM part_expanded c JOIN run_expanded r ON r.security_id = c.security_id AND r.cadence = c.cadence AND r.window_start = c.window_start
+ AND r.window_end = c.window_end GROUP BY ALL""")
 def driver_export(p: Panels):
-    """The export written as quoted CSV, read back and counted."""
-    from returnlens.session import checkpoint_dir
+    """The export written as quoted CSV and read back, cell by cell."""
+    from returnlens.session import scratch_path
 
-    path = f"{checkpoint_dir(p.spark)}/returnlens/export-{p.spark.sparkContext.applicationId}"
-    reports.write_export(reports.export_rows(*stored(p, expanded=False)), path)
+    runs, parts = stored(p)
+    path = scratch_path(p.spark, "export")
+    reports.write_export(reports.export_rows(runs, parts), path)
     back = p.spark.read.option("header", True).option("escape", '"').schema(
         "attribution_run_id string, driver string, name string, contribution_bps string, share_of_move string, "
         "confidence string, stage string, evidence string, evidence_payload string"
     ).csv(path)
-    return back.groupBy("driver").agg(
-        F.count("*").alias("rows"), F.count_if(F.coalesce("share_of_move", F.lit("")) == "").alias("blank_shares")
+    cells = back.withColumn("contribution_bps", F.col("contribution_bps").cast("double")).withColumn(
+        "share_of_move", F.nullif("share_of_move", F.lit("")).cast("double")
     )
+    shown = with_key(runs, cells).select(*windows.WINDOW, "driver", "name", fixed("contribution_bps", 6, 3), fixed("share_of_move", 8, 5))
+    return shown.groupBy(*shown.columns).agg(F.count("*").alias("copies"))
 
 
 @query("cadence_progress", """

@@ -111,6 +111,11 @@ def bucket_gate(bucket: Column) -> Column:
     return F.when(bucket.isNull(), F.lit(0.0)).otherwise(F.try_element_at(weights, bucket))
 
 
+def fixed_text(value: Column, places: int) -> Column:
+    """A finite number with so many decimals: the exact stored value is rounded, and true halves go to even."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * places))
+
+
 def clamp01(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from returnlens.functions.identity import name_uuid
-from returnlens.functions.scoring import plain_share, residual_confidence, safe_share, share_denominator, share_is_stable
+from returnlens.functions.scoring import fixed_text, plain_share, residual_confidence, safe_share, share_denominator, share_is_stable
 from returnlens.operators.pit import top_rows, visible
 from returnlens.vocab import (
     DRIVER_RANK,
@@ -166,7 +166,7 @@ def stored_contributions(run_rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _one_decimal(value: Column) -> Column:
-    return F.format_string("%.1f", F.round(value, 1))
+    return fixed_text(value, 1)
 
 
 def narratives(run_rows: DataFrame, parts: DataFrame, threshold: float = SHARE_THRESHOLD_BPS) -> DataFrame:

@@ -49,6 +49,7 @@ FORM_SCORES = {
     "4": (0.65, 0.35, 0.25, 0.35),
     "144": (0.55, 0.30, 0.20, 0.30),
 }
+# Scores of any other form, and the source whose events count as official.
 OTHER_SCORES = (0.50, 0.30, 0.20, 0.25)
 OFFICIAL_SOURCES = ["sec_edgar"]
 

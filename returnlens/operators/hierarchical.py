@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from returnlens.functions.scoring import clamp01, confidence_after, factor_penalty, is_usable_bps
+from returnlens.functions.scoring import clamp01, confidence_after, factor_penalty, fixed_text, is_usable_bps
 from returnlens.operators.exposures import macro_gates
 from returnlens.operators.models import contribution_rows, peer_assignments, sector_assignments
 from returnlens.operators.series import MACRO_ORDER
@@ -21,6 +21,8 @@ from returnlens.vocab import COLLINEAR_CONDITION, FIVE_FACTORS
 LAYERED_VERSION = "hierarchical-market-first-v1"
 MIN_PAIRS = 60
 FLAT = 1e-12
+#: Securities that share one copy of a series when the groups are laid out.
+SHARED_BY = 256
 
 SCHEMA = (
     "security_id {id}, cadence string, window_start date, window_end date, observed_return_bps double, "
@@ -159,39 +161,42 @@ def layered_rows(
         standing.select("security_id", "series_key", (F.col("layer") + first_layer).alias("slot"), "gate")
     )
     day = F.unix_date
-    observed = slots.join(series, "series_key").select(
-        "security_id",
-        "slot",
-        day("event_date").alias("day"),
-        F.col("value").alias("value"),
-        day("prev_date").alias("earlier"),
-    )
-    own = returns.where(F.col("return_bps").isNotNull()).select(
-        "security_id",
-        F.lit(-1).alias("slot"),
-        day("event_date").alias("day"),
-        F.col("return_bps").alias("value"),
-        day("prev_date").alias("earlier"),
-    )
-    present = slots.select(
-        "security_id",
-        "slot",
-        F.lit(None).cast("int").alias("day"),
-        F.col("gate").alias("value"),
-        F.lit(None).cast("int").alias("earlier"),
-    )
     lookback = int(lookback_days)
     stretches = windows.groupBy(F.col("security_id").alias("owner_id"), F.year("window_start").alias("owner_year")).agg(
         (day(F.min("window_start")) - lookback).alias("_low"), day(F.max("window_end")).alias("_high")
     )
-    facts = (
-        observed.unionByName(own)
-        .unionByName(present)
-        .withColumnRenamed("security_id", "owner_id")
+    year_of = lambda days: F.year(F.date_from_unix_date(days))
+    # Every security wants the market series, so a series is dealt out by calendar year and, in copies, by a salt of the
+    # security: no task lays out more than a year of one series for SHARED_BY securities.
+    salts = max(1, -(-securities.count() // SHARED_BY))
+    wanted = (
+        slots.select(F.col("security_id").alias("owner_id"), "series_key", "slot")
+        .join(stretches, "owner_id")
+        .withColumn("series_year", F.explode(F.sequence(year_of(F.col("_low")), year_of(F.col("_high")))))
+        .withColumn("salt", F.pmod(F.xxhash64("owner_id"), F.lit(salts)).cast("int"))
+    )
+    dealt = series.select(
+        "series_key", F.year("event_date").alias("series_year"), day("event_date").alias("day"), "value",
+        day("prev_date").alias("earlier"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+    )
+    columns = ["owner_id", "owner_year", "slot", "day", "value", "earlier"]
+    inside = F.col("day").between(F.col("_low"), F.col("_high"))
+    observed = wanted.join(dealt, ["series_key", "series_year", "salt"]).where(inside).select(*columns)
+    own = (
+        returns.where(F.col("return_bps").isNotNull())
+        .select(
+            F.col("security_id").alias("owner_id"), F.lit(-1).alias("slot"), day("event_date").alias("day"),
+            F.col("return_bps").alias("value"), day("prev_date").alias("earlier"),
+        )
         .join(stretches, "owner_id")
-        .where(F.col("day").isNull() | F.col("day").between(F.col("_low"), F.col("_high")))
-        .drop("_low", "_high")
+        .where(inside)
+        .select(*columns)
+    )
+    present = slots.withColumnRenamed("security_id", "owner_id").join(stretches, "owner_id").select(
+        "owner_id", "owner_year", "slot", F.lit(None).cast("int").alias("day"), F.col("gate").alias("value"),
+        F.lit(None).cast("int").alias("earlier"),
     )
+    facts = observed.unionByName(own).unionByName(present)
     asked = windows.select(
         "security_id", "cadence", "window_start", "window_end", "observed_return_bps", F.year("window_start").alias("start_year")
     )
@@ -278,8 +283,8 @@ def layered_rows(
         observations=n,
         condition_number=condition,
         evidence=F.array(
-            F.format_string("beta=%.4f", "beta"),
-            F.format_string("residualized_factor_return_bps=%.4f", "factor_move"),
+            F.concat(F.lit("beta="), fixed_text(F.col("beta"), 4)),
+            F.concat(F.lit("residualized_factor_return_bps="), fixed_text(F.col("factor_move"), 4)),
             F.format_string("observations=%d", n),
             F.format_string("condition_number=%.4f", condition),
             F.lit(f"model={LAYERED_VERSION}"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from returnlens.functions.scoring import clamp01, confidence_after, factor_penalty
+from returnlens.functions.scoring import clamp01, confidence_after, factor_penalty, fixed_text
 from returnlens.operators.events import classify, events_in_windows
 from returnlens.operators.exposures import macro_gates
 from returnlens.operators.pit import latest_classification
@@ -23,7 +23,8 @@ MIN_PAIRS = {"market": 5, "sector": 10, "peer": 10, "macro": 20}
 
 
 def _number(label: str, value: Column) -> Column:
-    return F.format_string(f"{label}=%.4f", value)
+    plain = F.concat(F.lit(f"{label}="), fixed_text(value, 4))
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.format_string(f"{label}=%.4f", value)).otherwise(plain)
 
 
 def _count(value: Column) -> Column:
@@ -251,6 +252,7 @@ def style_rows(windows: DataFrame, bars: DataFrame, lookback_days: int, cutoff:
                 "value",
                 "unit",
                 "observations",
+                F.when(F.col("descriptor") == "liquidity", F.expm1(value)).alias("average_daily_dollar_volume"),
                 F.lit(STYLE_VERSION).alias("model_version"),
             )
         ),

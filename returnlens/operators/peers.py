@@ -79,14 +79,13 @@ def basket_returns(weights: DataFrame, compositions: DataFrame, returns: DataFra
 
 
 def _heads(candidates: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
-    """First ``n`` candidates of each group with their place and the group's size."""
+    """First ``n`` candidates of each group with their place."""
     named = candidates.where(F.col(group).isNotNull())
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     heads = named.withColumn("place", place).where(F.col("place") <= n)
-    sizes = named.groupBy(group).agg(F.count("*").alias("group_size"))
     return heads.select(
         group, F.col("security_id").alias("peer_security_id"), F.col("ticker").alias("peer_ticker"), "place"
-    ).join(sizes, group)
+    )
 
 
 def _equal_weights(chosen: DataFrame, min_peers: int) -> DataFrame:

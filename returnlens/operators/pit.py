@@ -79,7 +79,9 @@ def latest_classification(classes: DataFrame, cutoff: str | Column | None = None
 
 def close_at(points: DataFrame, bars: DataFrame, day: str, cutoff: str | Column, name: str) -> DataFrame:
     """Adjusted close visible at the cutoff on exactly the day each point names; null when there is none."""
-    prices = visible_bars(bars, cutoff).select(
+    wanted = points.select("security_id", F.col(day).alias("event_date")).distinct()
+    asked = bars.join(wanted, ["security_id", "event_date"], "left_semi")
+    prices = visible_bars(asked, cutoff).select(
         "security_id", F.col("event_date").alias(day), F.col("adjusted_close").alias(name)
     )
     return points.join(prices, ["security_id", day], "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from returnlens.functions.parsing import utc_timestamp
 from returnlens.operators.assemble import driver_rank
 from returnlens.vocab import DRIVER_RANK, RESIDUAL_DRIVER
 
@@ -34,11 +35,10 @@ def reconciliation_breaks(run_rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 def lookahead_breaks(run_rows: DataFrame, parts: DataFrame) -> DataFrame:
     """Contributions whose payload names an availability after their run's cutoff."""
-    named = F.get_json_object("evidence_payload", "$.timestamp_available")
-    stated = F.try_to_timestamp(F.replace(named, F.lit("Z"), F.lit("+00:00")))
+    stated = utc_timestamp(F.get_json_object("evidence_payload", "$.timestamp_available"))
     cutoffs = run_rows.select("attribution_run_id", "attribution_cutoff")
     return (
-        parts.withColumn("stated_available", stated.cast("timestamp_ntz"))
+        parts.withColumn("stated_available", stated)
         .where(F.col("stated_available").isNotNull())
         .join(cutoffs, "attribution_run_id")
         .where(F.col("stated_available") > F.col("attribution_cutoff"))

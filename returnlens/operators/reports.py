@@ -32,9 +32,7 @@ def run_details(runs: DataFrame, parts: DataFrame, threshold: float = SHARE_THRE
 
 def run_history(runs: DataFrame, limit: int = 50, cadence: str | None = None) -> DataFrame:
     chosen = runs if cadence is None else runs.where(F.col("cadence") == cadence)
-    return chosen.orderBy(F.col("window_end").desc(), F.col("created_at").desc(), F.col("attribution_run_id")).limit(
-        min(limit, 250)
-    )
+    return chosen.orderBy(F.col("window_end").desc(), F.col("created_at").desc(), F.col("attribution_run_id")).limit(limit)
 
 
 def chart_bounds(bars: DataFrame, chart_range: str) -> DataFrame:
@@ -48,8 +46,8 @@ def chart_bounds(bars: DataFrame, chart_range: str) -> DataFrame:
 
 def chart_prices(bars: DataFrame, bounds: DataFrame) -> DataFrame:
     """Newest bar per day inside each chart with the percent move since its first bar."""
-    daily = top_rows(bars, ["security_id", "event_date"], [F.col("timestamp_available").desc(), F.col("source").asc()])
-    inside = daily.join(bounds, "security_id").where(F.col("event_date").between(F.col("chart_start"), F.col("chart_end")))
+    shown = bars.join(bounds, "security_id").where(F.col("event_date").between(F.col("chart_start"), F.col("chart_end")))
+    inside = top_rows(shown, ["security_id", "event_date"], [F.col("timestamp_available").desc(), F.col("source").asc()])
     first = F.first("adjusted_close").over(Window.partitionBy("security_id").orderBy("event_date"))
     return inside.select(
         "security_id",
@@ -188,28 +186,43 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 
 
-def nearest_rank(rows: DataFrame, keys: list[str], value: str, q: float, decimals: int = 6, width: float = 0.01) -> DataFrame:
-    """Exact nearest-rank percentile (ties of the rank go to even) without ordering a whole group in one task.
+def _narrowed(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """The rows of the bucket that holds the wanted rank, with the count before it.
 
-    Values rounded to ``decimals`` are counted, the counts summed into buckets of ``width``, the bucket holding the
-    rank found, and only that bucket's distinct values, at most ``width * 10**decimals``, are ordered.
+    ``rows`` carry ``_v``, the bounds ``_low`` and ``_width`` of their buckets, ``_before`` and ``_rank``. A group has at
+    most ``buckets`` buckets however many values it has.
     """
-    counts = rows.groupBy(*keys, F.round(value, decimals).alias("_v")).agg(F.count("*").alias("_n"))
-    bucketed = counts.withColumn("_bucket", F.floor(F.col("_v") / width))
-    sums = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in"))
-    total = F.sum("_in").over(Window.partitionBy(*keys))
-    before = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_in")
-    rank = F.bround((F.col("_total") - 1) * F.lit(q), 0)
+    place = F.when(F.col("_width") > 0, F.floor((F.col("_v") - F.col("_low")) / F.col("_width"))).otherwise(0)
+    placed = rows.withColumn("_bucket", F.greatest(F.lit(0), F.least(place, F.lit(buckets - 1))))
+    sums = placed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_in"), F.first("_before").alias("_start"), F.first("_rank").alias("_wanted"))
+    through = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_bucket")) + F.col("_start")
     holding = (
-        sums.withColumn("_total", total)
-        .withColumn("_before", before)
-        .withColumn("_rank", rank)
-        .where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_in")))
-        .select(*keys, "_bucket", "_before", "_rank")
+        sums.withColumn("_through", through)
+        .where((F.col("_through") - F.col("_in") <= F.col("_wanted")) & (F.col("_wanted") < F.col("_through")))
+        .select(*keys, "_bucket", (F.col("_through") - F.col("_in")).alias("_passed"))
+    )
+    low = F.col("_low") + F.col("_bucket") * F.col("_width")
+    return placed.join(holding, [*keys, "_bucket"]).select(
+        *keys, "_v", low.alias("_low"), (F.col("_width") / buckets).alias("_width"), F.col("_passed").alias("_before"), "_rank"
+    )
+
+
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, q: float, buckets: int = 4096) -> DataFrame:
+    """Exact nearest-rank percentile (ties of the rank go to even) without ordering a whole group in one task.
+
+    Each group's range is cut into ``buckets`` equal buckets, the one holding the rank is found by counting and cut again,
+    and only the distinct values of that fine bucket are ordered.
+    """
+    given = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    spans = given.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    ranks = spans.select(
+        *keys, "_low", ((F.col("_high") - F.col("_low")) / buckets).alias("_width"), F.lit(0).cast("long").alias("_before"),
+        F.bround((F.col("_n") - 1) * F.lit(q), 0).alias("_rank"),
     )
-    narrowed = bucketed.join(holding, [*keys, "_bucket"])
-    through = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v")) + F.col("_before")
-    reached = narrowed.withColumn("_through", through).where(F.col("_through") > F.col("_rank"))
+    near = _narrowed(_narrowed(given.join(ranks, keys), keys, buckets), keys, buckets)
+    counts = near.groupBy(*keys, "_v").agg(F.count("*").alias("_n"), F.first("_before").alias("_start"), F.first("_rank").alias("_wanted"))
+    through = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v")) + F.col("_start")
+    reached = counts.withColumn("_through", through).where(F.col("_through") > F.col("_wanted"))
     return reached.groupBy(*keys).agg(F.min("_v").alias("percentile"))
 
 

@@ -137,8 +137,9 @@ def window_descriptors(windows: DataFrame, bars: DataFrame, lookback_days: int)
     return _descriptors(ends, placed, windows.columns)
 
 
-def exposures_from_descriptors(descriptors: DataFrame, as_of: str) -> DataFrame:
-    at = F.lit(as_of).cast("timestamp_ntz")
+def exposures_from_descriptors(descriptors: DataFrame, as_of: str | Column) -> DataFrame:
+    """Exposure rows as they stand at ``as_of``, one moment for all or one a row."""
+    at = F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of
     return descriptors.select(
         "security_id",
         F.col("descriptor").alias("factor_name"),

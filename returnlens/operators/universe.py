@@ -117,9 +117,11 @@ def summaries(
         F.col("name").alias("top_driver"),
         F.col("confidence").alias("top_driver_confidence"),
     )
-    wanted = bars.join(latest.select("security_id"), "security_id", "left_semi")
-    priced = close_at(
-        close_at(latest, wanted, "window_start", cutoff, "start_close"), wanted, "window_end", cutoff, "end_close"
+    edges = latest.select("security_id", F.explode(F.array("window_start", "window_end")).alias("event_date"))
+    closes = close_at(edges.distinct(), bars, "event_date", cutoff, "close")
+    at = lambda day, name: closes.select("security_id", F.col("event_date").alias(day), F.col("close").alias(name))
+    priced = latest.join(at("window_start", "start_close"), ["security_id", "window_start"], "left").join(
+        at("window_end", "end_close"), ["security_id", "window_end"], "left"
     )
     labels = latest_classification(classes).select("security_id", "sector", "industry")
     zero = F.lit(0)
@@ -207,6 +209,11 @@ def universe_page(rows: DataFrame, sort: str = "ticker", descending: bool = Fals
     )
 
 
+def page_total(rows: DataFrame) -> DataFrame:
+    """How many rows the pages of a filtered universe hold together."""
+    return rows.agg(F.count("*").alias("total"))
+
+
 def universe_options(rows: DataFrame) -> DataFrame:
     """Distinct values offered by the page's filters, one row each."""
     options = F.explode(

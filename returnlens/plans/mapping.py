@@ -120,8 +120,9 @@ def seed_mappings(
 
 
 def refresh_event_features(event_rows: DataFrame, stored: DataFrame, source: str) -> DataFrame:
-    """Feature rows of one source's events written over the stored ones."""
-    fresh = events.event_features(event_rows.where(F.col("source") == source))
+    """Feature rows of one official source's events, such as promoted filings, written over the stored ones."""
+    official = [*events.OFFICIAL_SOURCES, source]
+    fresh = events.event_features(event_rows.where(F.col("source") == source), official)
     return upsert(stored, fresh, ["event_id", "model_version"], [F.col("timestamp_available").desc()])
 
 

@@ -29,16 +29,27 @@ _private: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a private one only when that is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a folder of its own. On a cluster that would scatter files over the executors'
+    disks, so there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _private:
         _private[app] = tempfile.mkdtemp(prefix="returnlens-checkpoint-")
     return _private[app]
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, under the application's own name."""
+    return f"{checkpoint_dir(spark)}/returnlens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{label}"
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate that several branches read and continue from the written table.
 
@@ -46,6 +57,12 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     prune.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/returnlens/{uuid.uuid4().hex}-{label}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard_settled(spark: SparkSession) -> None:
+    """Remove everything this application settled; tables read from it are gone afterwards."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/returnlens/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
