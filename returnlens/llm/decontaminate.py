@@ -54,10 +54,11 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, share: float
 
     Words are cut at ASCII white space after A-Z are lower-cased; a text with fewer words is one shingle, a null or blank
     text has none and pairs with nothing. Rows with a null id are not reported. Repeated ids: a pair is reported once, with
-    its largest overlap. Empty tables give no rows, and other columns are not read. Whole texts are searched.
+    its largest overlap; texts under one item id make one item. Empty tables give no rows, and other columns are not read. Whole texts are searched.
     """
     item = items.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("w")).where("item_id is not null")
-    item = settle(item.select("item_id", shingles(F.col("w"), size, False).alias("s")).where("s is not null").select("item_id", F.size("s").alias("n_item"), F.explode("s").alias("shingle")), "items")
+    item = item.select("item_id", F.explode(shingles(F.col("w"), size, False)).alias("shingle")).distinct()
+    item = settle(item.join(item.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item")), "item_id"), "items")
     orders = least = F.lit(0)
     for smallest, count in PARTITIONS:
         inside = F.col("n_item") >= smallest
@@ -75,5 +76,5 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, share: float
     full = suspects.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
     full = full.select("doc_id", "row", F.explode(shingles(F.col("w"), size, False)).alias("shingle"))
     common = full.join(small(item), "shingle").groupBy("doc_id", "row", "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_common"))
-    exact = common.where(F.col("n_common") >= share * F.col("n_item") - 1e-9).groupBy("doc_id", "item_id").agg(F.max("n_item").cast("long").alias("n_item"), F.max("n_common").alias("n_common"))
+    exact = common.where(F.col("n_common") >= share * F.col("n_item") - 1e-9).groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_common").alias("n_common"))
     return exact.join(small(candidates), ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "n_item", "n_common", (F.col("n_common") / F.col("n_item")).alias("containment"))

@@ -156,7 +156,7 @@ class Field:
         return labels[::-1]
 
 
-def train(pages: list[tuple[str, list[str]]], steps: int = 120, rate: float = 0.3, decay: float = 0.002) -> Field:
+def train(pages: list[tuple[str, list[str]]], steps: int = 120, rate: float = 0.5, decay: float = 0.001) -> Field:
     """Maximum conditional likelihood with an L2 penalty, by AdaGrad over (html, main blocks) pages."""
     data = []
     for page, main in pages:
@@ -222,6 +222,19 @@ def labelled_pages() -> list[tuple[str, list[str]]]:
         "<div class='newsletter promo'><p>Get the letter every Friday.</p></div>", "<div class='advert sponsored'>A word from our sponsor.</div>",
         "<div class='footer'><p>Printed on paper.</p></div>", "<p class='disclaimer notice'>Opinions are those of their authors.</p>",
     ]
+    names = [
+        "ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "cookie", "notice", "alert", "sidebar", "menu", "nav", "navbar",
+        "header", "footer", "related", "share", "social", "comments", "comment", "replies", "newsletter", "subscribe", "signup", "popup",
+        "breadcrumb", "widget", "disclaimer", "login",
+    ]
+    # Surroundings that only their names tell from the story.
+    plain = [
+        "Boats are sold here at good prices.", "It was a fine day, as all days are.", "Read more of it tomorrow.", "The writer of these lines has seen it, and so have we, more than once and at some length.",
+    ]
+    named = [
+        (f"<div class='{n}'>{{}}</div>", f"<section id='{n}'><p>{{}}</p></section>", f"<aside class='{n}'><p>{{}}</p></aside>", f"<p class='{n}'>{{}}</p>")[i % 4].format(plain[i % len(plain)])
+        for i, n in enumerate(names)
+    ] + [f"<div class='{n}'>{plain[(i + 1) % len(plain)]}</div>" for i, n in enumerate(names)]
     shells = [
         ("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<div class='content'>", "</div>"),
         ("<div id='main-content' class='post'>", "</div>"), ("<main>", "</main>"), ("<article class='story'><div class='entry body text'>", "</div></article>"),
@@ -229,18 +242,19 @@ def labelled_pages() -> list[tuple[str, list[str]]]:
     ]
     forms = ["<p>{}</p>", "<p>{}", "<p><b>{}</b></p>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<h2>{}</h2>", "<div>{}</div>", "<p><b>{}<br>", "<p>{} </p>"]
     pages = []
-    for k in range(72):
+    for k in range(120):
         opened, closed = shells[k % len(shells)]
         count = 1 + (k * 5) % 7
         main = [body[(k + 3 * i) % len(body)] for i in range(count)]
         parts = [f"<h1>{main[0]}</h1>"] + [forms[(k + i) % len(forms) if k % 3 else 0].format(t) for i, t in enumerate(main[1:])]
-        if k % 5 == 0:
-            inner = after[(k // 5) % len(after)]
+        if k % 2 == 0:
+            inner = after[1 + (k // 2) % (len(after) - 1)]
             if not inner.startswith("<footer"):
                 parts.insert(1 + k % len(parts), inner)
+        parts.insert(1 + (k // 2) % len(parts), named[(7 * k) % len(named)])
         head = f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>{main[0]}</title><style>p{{margin:0}}</style></head><body>"
         top = "".join(before[(k + 2 * i) % len(before)] for i in range(1 + k % 3))
-        tail = "".join(after[(k + 5 * i) % len(after)] for i in range(1 + k % 4))
+        tail = named[(7 * k + 31) % len(named)] * (k % 2) + "".join(after[(k + 5 * i) % len(after)] for i in range(1 + k % 4))
         pages.append((head + top + opened + "".join(parts) + closed + tail + ("</body></html>" if k % 4 else ""), main))
     return pages
 

@@ -72,7 +72,7 @@ def _passes(kind: str, body: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(body, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) < 3) | ((F.length(F.ltrim(p, F.lit("0"))) == 3) & (F.ltrim(p, F.lit("0")) <= "255")))
     if kind == "card":
-        return F.length(_digits(body)).between(12, 19) & F.luhn_check(_digits(body))
+        return F.length(_digits(body)).between(12, 19) & F.call_function("luhn_check", _digits(body))
     if kind == "phone":
         return F.length(_digits(body)).between(9, 15)
     return F.lit(True)
@@ -91,7 +91,7 @@ def _features(text: Column, s: Column) -> Column:
         cue = F.when(kind == i, before.rlike(_CUES[name])).otherwise(cue)
     marks = F.regexp_replace(body, "[A-Za-z0-9]", "")
     return F.array(
-        kind, F.length(_digits(body)), F.luhn_check(_digits(body)).cast("int"), cue.cast("int"), before.rlike(_AGAINST).cast("int"),
+        kind, F.length(_digits(body)), F.call_function("luhn_check", _digits(body)).cast("int"), cue.cast("int"), before.rlike(_AGAINST).cast("int"),
         _side(F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1)))), _side(F.substring(text, s["end"] + 1, F.lit(1))),
         F.size(F.array_distinct(F.split(marks, ""))), body.rlike(r"[\(\[\{:]").cast("int"),
     )
