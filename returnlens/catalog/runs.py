@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from returnlens.catalog.core import market_data, prepared, seen_bars, settings
@@ -10,6 +14,7 @@ from returnlens.catalog.registry import STEPS, query
 from returnlens.catalog.steps import AT
 from returnlens.operators import assemble, events, models, quality, reports, universe, upsert, windows
 from returnlens.plans import attribution as plan
+from returnlens.plans import backfill
 from returnlens.session import settle
 from returnlens.vocab import METHODOLOGIES
 
@@ -294,6 +299,21 @@ def driver_order_audit(p: Panels):
     return found.select(*windows.WINDOW, "name")
 
 
+@query("pit_columns_audit", """
+SELECT 'price_raw' AS table_name, 'event_time' AS missing_column, count(*) AS rows FROM price_raw
+UNION ALL SELECT 'macro_series', 'event_time', count(*) FROM macro_series UNION ALL SELECT 'macro_series', 'ingestion_time', count(*) FROM macro_series
+UNION ALL SELECT 'factor_return', 'event_time', count(*) FROM factor_return UNION ALL SELECT 'factor_return', 'ingestion_time', count(*) FROM factor_return""")
+def pit_columns_audit(p: Panels):
+    """Point-in-time columns that a table lacks, with how many rows that concerns."""
+    tables = {name: getattr(p, name) for name in ("price_raw", "macro_series", "factor_return", "event")}
+    rows = [
+        df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), F.lit(column).alias("missing_column"), "rows")
+        for name, df in tables.items()
+        for column in quality.missing_pit_columns(df)
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("input_availability_audit", """
 SELECT w.security_id, w.cadence, w.window_start, w.window_end,
        strftime(max(b.timestamp_available), '%Y-%m-%d') AS inputs_available
@@ -353,6 +373,36 @@ def resume_backfill(p: Panels):
     return copies(*plan.resume(market_data(p), settings(), runs.where("security_id % 2 = 0")))
 
 
+@query("daily_batch_attribution", """
+SELECT security_id, cadence, window_start, window_end, driver, name, CAST(round(CAST(contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps,
+       count(*) AS copies FROM part_expanded
+WHERE cadence = 'daily' AND window_start = DATE '1998-03-10' AND window_end = DATE '1998-03-11' GROUP BY ALL""")
+def daily_batch_attribution(p: Panels):
+    return copies(*backfill.daily_batch(market_data(p), settings(), "1998-03-10", "1998-03-11"))
+
+
+@query("latest_daily_attribution", """
+SELECT security_id, cadence, window_start, window_end, driver, name, CAST(round(CAST(contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps,
+       count(*) AS copies FROM part_expanded
+WHERE cadence = 'daily' AND (security_id, window_end) IN (SELECT (security_id, max(event_date)) FROM bars WHERE event_date <= DATE '1999-06-20' GROUP BY security_id)
+GROUP BY ALL""")
+def latest_daily_attribution(p: Panels):
+    return copies(*backfill.latest_daily(market_data(p), settings(), "1999-06-20"))
+
+
+@query("pilot_attribution", """
+SELECT security_id, cadence, window_start, window_end, driver, name, CAST(round(CAST(contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps,
+       count(*) AS copies FROM part_expanded
+WHERE cadence = 'monthly' AND security_id % 2 = 1 AND driver <> 'event' AND (security_id, window_start) IN (
+  SELECT (security_id, window_start) FROM (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY window_start) AS rn FROM all_windows
+    WHERE cadence = 'monthly' AND window_start >= DATE '1998-01-01' AND window_end <= DATE '2000-12-31') w WHERE rn <= 18) GROUP BY ALL""")
+def pilot_attribution(p: Panels):
+    """The first eighteen windows of a span under another methodology; half of the securities are stored already."""
+    kept = replace(settings(methodology="residual_safety_v1"), cadences=["monthly"], include_events=False)
+    runs, _ = stored(p, "residual_safety_v1")
+    return copies(*backfill.pilot(market_data(p), kept, "1998-01-01", "2000-12-31", 18, runs.where("security_id % 2 = 0")))
+
+
 METRICS_SQL = """
 SELECT 'factor-baseline-v0' AS model_version, count(*) AS runs, count(*) FILTER (WHERE abs(observed_return_bps) >= 25) AS stable_runs,
        round(avg(abs(unexplained_residual_bps)), 4) AS residual_mae_bps,

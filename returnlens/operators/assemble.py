@@ -36,10 +36,6 @@ def admissible(rows: DataFrame, cutoff: str) -> DataFrame:
     )
 
 
-def ordered(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(*RUN_KEY, driver_rank(F.col("driver")), "name")
-
-
 def run_totals(windows: DataFrame, rows: DataFrame, threshold: float = SHARE_THRESHOLD_BPS) -> DataFrame:
     """Explained and gross sums per window with the residual and share diagnostics; windows without rows included."""
     sums = rows.groupBy(*RUN_KEY).agg(
@@ -194,6 +190,7 @@ def narratives(run_rows: DataFrame, parts: DataFrame, threshold: float = SHARE_T
     observed, residual = F.col("observed_return_bps"), F.col("unexplained_residual_bps")
     stable = share_is_stable(observed, threshold)
     large = F.try_divide(F.abs(residual), F.abs(observed)) > 0.5
+    # Fixed text: the sentences of a narrative.
     sentences = F.concat_ws(
         " ",
         F.concat(F.lit("Observed move was "), _one_decimal(observed), F.lit(" bps over the selected window.")),

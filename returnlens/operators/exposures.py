@@ -172,6 +172,7 @@ def exposure_decisions(features: DataFrame, evaluated_at: str) -> DataFrame:
         )
     )
     review = (F.col("review_count") >= 2) | (F.col("high_impact_count") > 0)
+    # Fixed text: the rationale of either decision.
     reason = F.when(
         F.col("review_required"),
         F.format_string(

@@ -64,11 +64,6 @@ def ticker_map_on(history: DataFrame, day: str | Column) -> DataFrame:
     return top_rows(active(history, day), ["ticker"], [F.col("active_from").desc(), F.col("security_id").asc()])
 
 
-def attach_active_security(rows: DataFrame, history: DataFrame, ticker: str = "ticker") -> DataFrame:
-    lookup = active_ticker_map(history).select(F.col("ticker").alias(ticker), "security_id")
-    return rows.join(lookup, ticker)
-
-
 def latest_classification(classes: DataFrame, cutoff: str | Column | None = None) -> DataFrame:
     """Newest classification per security: by event day for a run, by availability for a summary."""
     if cutoff is None:

@@ -49,15 +49,3 @@ def window_returns(windows: DataFrame, bars: DataFrame) -> DataFrame:
     return ends.where("bars >= 2").withColumn(
         "observed_return_bps", move_bps(F.col("end_close"), F.col("start_close"))
     )
-
-
-def cumulative_path(bars: DataFrame) -> DataFrame:
-    """Percent move since the first bar of each security's range, for price charts."""
-    first = F.first("adjusted_close").over(by_security())
-    return bars.select(
-        "security_id",
-        "event_date",
-        "adjusted_close",
-        ((F.col("adjusted_close") / first - 1.0) * 100).alias("cumulative_return_pct"),
-        (F.col("adjusted_close") - first).alias("price_change_usd"),
-    )

@@ -108,10 +108,6 @@ def proxy_factor_returns(bars: DataFrame, ticker_map: DataFrame, proxies: DataFr
     )
 
 
-def union_series(*parts: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def running_level(series: DataFrame) -> DataFrame:
     """Running sum of a series on every calendar day from its first to its last observation."""
     w = Window.partitionBy("series_key").orderBy("event_date")

@@ -116,7 +116,8 @@ def parse_macro(rows: DataFrame, start: str, end: str, ingestion_time: str) -> D
 
 def parse_submissions(payloads: DataFrame, ingestion_time: str) -> DataFrame:
     """Columnar filing lists to one row per filing; short lists leave nulls at their tail."""
-    fields = "form accessionNumber filingDate reportDate acceptanceDateTime primaryDocument".split()
+    # Public field names of the filing index.
+    fields = ["form", "accessionNumber", "filingDate", "reportDate", "acceptanceDateTime", "primaryDocument"]
     recent = ", ".join(f"{f}: array<string>" for f in fields)
     parsed = F.from_json("payload", f"struct<name: string, filings: struct<recent: struct<{recent}>>>")
     lists = payloads.select(normalize_cik(F.col("cik")).alias("cik"), parsed.alias("p")).select(
