@@ -53,31 +53,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Shingles:
-    """Distinct hashed shingles of a text, sorted; remembers a bounded number of words' hashes."""
-
-    def __init__(self, size: int, limit: int = 400_000):
-        self.size, self.limit, self.known = size, limit, {}
-
-    def __getstate__(self):
-        return {"size": self.size, "limit": self.limit, "known": {}}
-
-    def of(self, text: str | None) -> np.ndarray:
-        # bytes.lower() changes A-Z only, and bytes.split() splits at \x20 and \x09-\x0D only.
-        words = text.encode().lower().split() if isinstance(text, str) else []
-        if not words:
-            return np.empty(0, _U)
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), _U, len(words))
-        width = min(self.size, len(h))
-        total = np.full(len(h) - width + 1, width, _U)
-        for k in range(width):
-            total = _mix(total + h[k:len(h) - width + 1 + k])
-        return np.unique(total)
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Distinct hashed shingles of a text, sorted."""
+    # bytes.lower() changes A-Z only, and bytes.split() splits at \x20 and \x09-\x0D only.
+    words = text.encode().lower().split() if isinstance(text, str) else []
+    if not words:
+        return np.empty(0, _U)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
+    width = min(size, len(h))
+    total = np.full(len(h) - width + 1, width, _U)
+    for k in range(width):
+        total = _mix(total + h[k:len(h) - width + 1 + k])
+    return np.unique(total)
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
@@ -132,13 +119,11 @@ def may_reach(a: np.ndarray, b: np.ndarray, na: int, nb: int, similarity: float,
 
 
 def _sketches(shingle: int):
-    shingles = Shingles(shingle)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             held, ids, mass = [], [], 0
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                held.append(shingles.of(text))
+                held.append(shingles(text, shingle))
                 ids.append(doc_id)
                 mass += len(held[-1])
                 if mass > 200_000 or len(held) >= 1000:
@@ -174,12 +159,10 @@ def _agree(a: Column, b: Column) -> Column:
 
 
 def _verifier(shingle: int, percent: int):
-    shingles = Shingles(shingle)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         @lru_cache(64)
         def full(text: str) -> np.ndarray:
-            return shingles.of(text)
+            return shingles(text, shingle)
 
         for batch in batches:
             keep = []

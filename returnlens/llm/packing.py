@@ -78,7 +78,7 @@ class WordCache:
 
     _ODD = re.compile("[\x1c-\x1f]|<\\|")
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -126,21 +126,12 @@ class WordCache:
         return b"".join(map(known.__getitem__, chunks))
 
 
-_caches: dict[str, WordCache] = {}
-
-
-def _cache(path: str) -> WordCache:
-    if path not in _caches:
-        _caches[path] = WordCache(path)
-    return _caches[path]
-
-
 def _packer(path: str, capacity: int, piece: int, windows: int):
     end = np.array([END_ID], dtype="<u4").tobytes()
     spare = 4 * windows  # what differencing may miss by, so that the planned number of windows nearly always holds
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _cache(path)
+        cache = WordCache(path)  # for this task: what a worker keeps beyond it would weigh on later stages
         sequence = TaskContext.get().partitionId() << 33
         rows, waiting, mass = [], [], 0
 
