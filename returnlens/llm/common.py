@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +34,15 @@ def in_sample(key: Column, fraction: Column | float) -> Column:
     """Keep about ``fraction`` of the keys, always the same ones."""
     share = F.pmod(F.xxhash64(key), F.lit(1_000_000)) / F.lit(1_000_000.0)
     return share < fraction
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for the jobs run inside, where long texts would make the usual ones heavy."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

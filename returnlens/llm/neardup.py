@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from returnlens.llm.common import arrow_batches
 from returnlens.llm.components import components
 from returnlens.session import settle
 
@@ -38,6 +39,7 @@ LONGS = REGISTERS // ROWS
 BASE = 1.2
 RATE = 20.0
 MISS = 1e-6
+BATCH = 1000  # texts handed to Python at once
 
 _U = np.uint64
 _SETS = T.StructType([
@@ -190,7 +192,8 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str =
     """
     similarity = percent / 100
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = settle(base.mapInPandas(_sketches(shingle), _SETS), "sets")
+    with arrow_batches(docs.sparkSession, BATCH):
+        sets = settle(base.mapInPandas(_sketches(shingle), _SETS), "sets")
     own = sets.where("n > 0 and doc_id is not null")
     # Equal sets have equal sketches, so any will do.
     reps = settle(own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
@@ -219,7 +222,8 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str =
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.select("a", "b").join(named(texts, "a"), "a").join(named(texts, "b"), "b")
-        return settle(both.mapInPandas(_verifier(shingle, percent), "a long, b long"), name)
+        with arrow_batches(docs.sparkSession, BATCH):
+            return settle(both.mapInPandas(_verifier(shingle, percent), "a long, b long"), name)
 
     links = components(verified(first, "links"))
     labelled = rows.select("id", "band", "bucket").join(links, "id", "left").select("id", "band", "bucket", F.coalesce("component", "id").alias("component"))
