@@ -6,15 +6,16 @@
    repeat each other within a class; correlated voters share their weight.
 3. A linear classifier is fitted to the posterior labels and scores every document.
 
-Statistics for step 1 are counted where the rows are. The fit sees a documented, bounded sample of labelled rows;
-scoring is a map over all rows without a shuffle.
+Statistics for step 1 are counted where the rows are, and every entry that passes the test on its gain is kept: features
+of a text with many copies pass as well, and none of them takes another's place. The fit sees a documented, bounded
+sample of labelled rows; scoring is a map over all rows without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -131,24 +132,54 @@ def label_model(votes: np.ndarray, sides: np.ndarray, prior: float, right: np.nd
     return q, accuracy, corr
 
 
+class Sparse:
+    """A matrix of zeros and ones by the places of its ones; its size follows the ones, not the columns."""
+
+    def __init__(self, hits: list[list[int]], size: int):
+        self.shape = len(hits), size
+        self.row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+        self.col = np.fromiter((i for h in hits for i in h), np.int64, len(self.row))
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, v[self.col], self.shape[0])
+
+    def back(self, u: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, u[self.row], self.shape[1])
+
+
+def _solve(product: Callable[[np.ndarray], np.ndarray], diagonal: np.ndarray, goal: np.ndarray, accuracy: float = 1e-8) -> np.ndarray:
+    """Conjugate gradients for a positive definite matrix known by its products and its diagonal."""
+    w, left = np.zeros(len(goal)), goal.copy()
+    z = left / diagonal
+    way, now = z.copy(), left @ z
+    first = now
+    for _ in range(10 * len(goal)):
+        if now <= accuracy**2 * first or now == 0:
+            break
+        ahead = product(way)
+        length = now / (way @ ahead)
+        w, left = w + length * way, left - length * ahead
+        z = left / diagonal
+        last, now = now, left @ z
+        way = z + now / last * way
+    return w
+
+
 def linear(hits: list[list[int]], size: int, target: np.ndarray, importance: np.ndarray, steps: int = 12, ridge: float = 0.3) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels with a ridge penalty, by Newton steps."""
-    x = np.zeros((len(hits), size + 1), np.float32)
-    for i, h in enumerate(hits):
-        x[i, h] = 1
-    x[:, size] = 1
+    x = Sparse([[*h, size] for h in hits], size + 1)
     scale = importance / importance.mean()
     w = np.zeros(size + 1)
     penalty = np.full(size + 1, ridge)
     penalty[size] = 1e-3
     for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (x * (scale * p * (1 - p)).astype(np.float32)[:, None]).T @ x + np.diag(penalty)
-        w = w + np.linalg.solve(curve, x.T @ (scale * (target - p)) - penalty * w)
+        p = 1.0 / (1.0 + np.exp(-np.clip(x.times(w), -30, 30)))
+        curve = scale * p * (1 - p)
+        w = w + _solve(lambda v: x.back(curve * x.times(v)) + penalty * v, x.back(curve) + penalty, x.back(scale * (target - p)) - penalty * w)  # noqa: B023
     return w[:size], float(w[size])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int = 8000, max_features: int = 1000, max_voters: int = 300, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int = 8000, max_voters: int = 300, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
     """Fit on the labelled rows where ``usable`` (over the column ``doc_id`` of the labels) holds.
 
     At most about ``max_labelled`` rows are used, half of them toxic where there are as many, chosen by hash of the id and
@@ -170,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int
     share = sizes[1] / (sizes[0] + sizes[1])
     gain = F.col("a") * F.log((a + 0.1) / ((a + b) * share + 0.1)) + F.col("b") * F.log((b + 0.1) / ((a + b) * (1 - share) + 0.1))
     sure = F.col("a") / (F.col("a") + b * kept[1] + 3.84)
-    best = counts.select("feature", gain.alias("gain"), sure.alias("sure")).where((F.col("sure") >= 0.5) & (F.col("gain") >= MIN_GAIN)).orderBy(F.desc("gain"), "feature").limit(max_features).collect()
+    best = counts.select("feature", gain.alias("gain"), sure.alias("sure")).where((F.col("sure") >= 0.5) & (F.col("gain") >= MIN_GAIN)).collect()
+    best.sort(key=lambda r: (-r["gain"], r["feature"]))
     lexicon = Lexicon([r["feature"] for r in best])
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -103,6 +103,37 @@ def test_toxicity_without_labels(spark, awkward):
     assert {r["score"] < 0.7 for r in toxicity.score(awkward, model).collect()} == {True}
 
 
+def made_up(n):
+    """Words of ten letters, no two with the same beginning of four."""
+    return ["".join(chr(97 + i // 20 ** k % 20) for k in range(4)) + "uvwxyz" for i in range(n)]
+
+
+def trained(spark, rows, **named):
+    """Scores of (text, toxic) rows by a model learned from all of them."""
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True), **named)
+    return model, [r["score"] for r in toxicity.score(docs, model).orderBy("doc_id").collect()]
+
+
+def test_toxicity_of_a_copied_text_does_not_crowd_out_the_terms(spark):
+    rows = [(" ".join(made_up(260)), 1)] * 150
+    rows += [(f"you are such a {('grubnik', 'vermlin', 'slodge')[i % 3]} person number n{i} here", 1) for i in range(300)]
+    rows += [(f"you are such a kind person number n{i} here", 0) for i in range(1500)]
+    model, _ = trained(spark, rows)
+    assert {"grubnik$", "vermlin$", "slodge$"} <= set(model.lexicon.at) and len(model.lexicon.at) > 1300
+
+
+def test_linear_is_the_best_fit():
+    rng = np.random.default_rng(1)
+    x = (rng.random((300, 12)) < 0.2).astype(float)
+    target, importance = rng.random(300), rng.random(300) + 0.5
+    w, bias = toxicity.linear([list(np.flatnonzero(r)) for r in x], 12, target, importance)
+    p = 1 / (1 + np.exp(-(x @ w + bias)))
+    scale = importance / importance.mean()
+    assert np.abs(x.T @ (scale * (target - p)) - 0.3 * w).max() < 1e-6 and abs((scale * (target - p)).sum() - 1e-3 * bias) < 1e-6
+
+
 def test_label_model_shares_the_weight_of_copies():
     rng = np.random.default_rng(0)
     y = rng.random(600) < 0.3
