@@ -13,10 +13,11 @@ sample of labelled rows; scoring is a map over all rows without a shuffle.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -74,7 +75,7 @@ class Model:
     weights: np.ndarray
     bias: float
     accuracies: np.ndarray
-    correlations: np.ndarray
+    correlations: Correlations | None
 
     def score(self, text: str | None) -> float:
         total = self.bias + sum(self.weights[i] for i in self.lexicon.hits(text)) if isinstance(text, str) else self.bias
@@ -102,7 +103,73 @@ def _counted(counts: tuple[Counter, Counter], rows: int = 20_000) -> Iterator[pd
         yield pd.DataFrame({"feature": np.array(part, object), "toxic_docs": [counts[0][n] for n in part], "clean_docs": [counts[1][n] for n in part]})
 
 
-def label_model(votes: np.ndarray, sides: np.ndarray, prior: float, right: np.ndarray, wrong: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Sparse:
+    """A matrix of zeros and ones by the places of its ones; its size follows the ones, not the columns."""
+
+    def __init__(self, hits: list[list[int]], size: int):
+        self.shape = len(hits), size
+        self.row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+        self.col = np.fromiter((i for h in hits for i in h), np.int64, len(self.row))
+        self.fired = np.bincount(self.col, minlength=size)
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, v[self.col], self.shape[0])
+
+    def back(self, u: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, u[self.row], self.shape[1])
+
+
+class Correlations:
+    """Correlations of voters inside the classes, worked out where they are asked for; the whole square is never held."""
+
+    def __init__(self, votes: Sparse, q: np.ndarray):
+        self.votes, self.q = votes, q
+        by_toxic, by_clean = votes.back(q), votes.back(1 - q)
+        self.toxic, self.clean = by_toxic / (q.sum() + 1e-9), by_clean / ((1 - q).sum() + 1e-9)
+        cross = self.toxic * by_toxic + self.clean * by_clean
+        square = votes.fired - 2 * cross + self.toxic**2 * (q @ q) + 2 * self.toxic * self.clean * (q @ (1 - q)) + self.clean**2 * ((1 - q) @ (1 - q))
+        self.square = np.maximum(square, 0) / votes.shape[0]
+        self.spread = np.sqrt(self.square) + 1e-6
+
+    def left(self, voters: np.ndarray) -> np.ndarray:
+        """What the class does not tell of these voters' votes, over their spread."""
+        place = np.full(self.votes.shape[1], -1)
+        place[voters] = np.arange(len(voters))
+        at = place[self.votes.col]
+        x = np.zeros((self.votes.shape[0], len(voters)), np.float32)
+        x[self.votes.row[at >= 0], at[at >= 0]] = 1
+        x -= np.outer(self.q, self.toxic[voters]).astype(np.float32) + np.outer(1 - self.q, self.clean[voters]).astype(np.float32)
+        return x / (self.spread[voters] * math.sqrt(self.votes.shape[0])).astype(np.float32)
+
+    def __getitem__(self, pair: tuple[int, int]) -> float:
+        x = self.left(np.array(sorted(set(pair))))
+        return float(x[:, 0] @ x[:, -1])
+
+    def crowding(self, sides: np.ndarray, near: float = 0.8, block: int = 1024) -> np.ndarray:
+        """Sum of each voter's near-complete correlations with the others of its side.
+
+        Voters that fire in the same rows are alike to all others, so one of them is compared for all.
+        """
+        rng = np.random.default_rng(0)
+        marks = np.stack([sides, self.votes.back(rng.random(self.votes.shape[0])), self.votes.back(rng.random(self.votes.shape[0]))], axis=1)
+        _, first, of, many = np.unique(marks, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        of = of.ravel()
+        total = np.zeros(len(first))
+        for i in range(0, len(first), block):
+            x = self.left(first[i:i + block])
+            for j in range(i, len(first), block):
+                close = np.clip(x.T @ self.left(first[j:j + block]), 0, 1)
+                close[(close <= near) | (sides[first[i:i + block], None] != sides[None, first[j:j + block]])] = 0
+                if i == j:
+                    np.fill_diagonal(close, 0)
+                else:
+                    total[j:j + block] += many[i:i + block] @ close
+                total[i:i + block] += close @ many[j:j + block]
+        own = self.square[first] / self.spread[first] ** 2
+        return (total + np.where(own > near, (many - 1) * own, 0))[of]
+
+
+def label_model(votes: Sparse | np.ndarray, sides: np.ndarray, prior: float, right: np.ndarray, wrong: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, Correlations]:
     """Posterior of the toxic class, accuracies, correlations.
 
     ``votes`` tells which voter fires where, ``sides`` which class it then votes for; a voter that does not fire abstains.
@@ -111,40 +178,21 @@ def label_model(votes: np.ndarray, sides: np.ndarray, prior: float, right: np.nd
     inside the classes tell one thing: the evidence of each is divided by one plus the sum of its near-complete
     correlations.
     """
-    fired = votes.sum(axis=0)
-    share, corr = np.ones(votes.shape[1]), np.eye(votes.shape[1])
+    if not isinstance(votes, Sparse):
+        votes = Sparse([np.flatnonzero(v).tolist() for v in votes], votes.shape[1])
+    share = np.ones(votes.shape[1])
     accuracy = (right + 0.5) / (right + wrong + 1.0)
     base = np.log(prior / (1 - prior))
-    q = np.zeros(len(votes))
+    q = np.zeros(votes.shape[0])
     for step in range(rounds):
         odds = np.log(accuracy / (1 - accuracy))
         evidence = share * np.where(sides == 1, np.maximum(odds - base, 0), -np.maximum(odds + base, 0))
-        q = 1.0 / (1.0 + np.exp(-np.clip(base + votes @ evidence, -30, 30)))
-        agreed = np.where(sides == 1, q @ votes, (1 - q) @ votes)
-        accuracy = np.clip((agreed + right + 0.5) / (fired + right + wrong + 1.0), 0.01, 0.99)
+        q = 1.0 / (1.0 + np.exp(-np.clip(base + votes.times(evidence), -30, 30)))
+        agreed = np.where(sides == 1, votes.back(q), votes.back(1 - q))
+        accuracy = np.clip((agreed + right + 0.5) / (votes.fired + right + wrong + 1.0), 0.01, 0.99)
         if step % 10 == 9:
-            left = votes - np.outer(q, (q @ votes) / (q.sum() + 1e-9)) - np.outer(1 - q, ((1 - q) @ votes) / ((1 - q).sum() + 1e-9))
-            spread = np.sqrt((left * left).mean(axis=0)) + 1e-6
-            corr = (left.T @ left) / len(votes) / np.outer(spread, spread)
-            close = np.where(sides[:, None] == sides[None, :], np.clip(corr, 0, 1), 0)
-            np.fill_diagonal(close, 0)
-            share = 1.0 / (1.0 + np.where(close > 0.8, close, 0).sum(axis=1))
-    return q, accuracy, corr
-
-
-class Sparse:
-    """A matrix of zeros and ones by the places of its ones; its size follows the ones, not the columns."""
-
-    def __init__(self, hits: list[list[int]], size: int):
-        self.shape = len(hits), size
-        self.row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-        self.col = np.fromiter((i for h in hits for i in h), np.int64, len(self.row))
-
-    def times(self, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, v[self.col], self.shape[0])
-
-    def back(self, u: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, u[self.row], self.shape[1])
+            share = 1.0 / (1.0 + Correlations(votes, q).crowding(sides))
+    return q, accuracy, Correlations(votes, q)
 
 
 def _solve(product: Callable[[np.ndarray], np.ndarray], diagonal: np.ndarray, goal: np.ndarray, accuracy: float = 1e-8) -> np.ndarray:
@@ -179,7 +227,7 @@ def linear(hits: list[list[int]], size: int, target: np.ndarray, importance: np.
     return w[:size], float(w[size])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int = 8000, max_voters: int = 300, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int = 8000, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
     """Fit on the labelled rows where ``usable`` (over the column ``doc_id`` of the labels) holds.
 
     At most about ``max_labelled`` rows are used, half of them toxic where there are as many, chosen by hash of the id and
@@ -189,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         share = 0.99 if sizes.get(1) else 0.01
-        return Model(Lexicon([]), np.zeros(0), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, 0)))
+        return Model(Lexicon([]), np.zeros(0), float(np.log(share / (1 - share))), np.zeros(0), None)
     kept = {k: sample_fraction(n, max_labelled // 2) for k, n in sizes.items()}
     chosen = known.where(in_sample(F.col("doc_id"), F.when(F.col("toxic") == 1, kept[1]).otherwise(kept[0])))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -211,15 +259,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int
 
     got = rows.mapInPandas(hits, _HITS).collect()
     found = [r["hits"] for r in got]
-    voters = min(max_voters, len(best))
-    votes = np.zeros((len(got), voters + PATTERNS))
-    for i, r in enumerate(got):
-        votes[i, [h for h in r["hits"] if h < voters]] = 1
-        votes[i, voters:voters + 2] = r["patterns"]
-        votes[i, voters + 2] = not votes[i, :voters].any()
+    voters = len(best)
+    votes = Sparse([[*h, *(voters + i for i, p in enumerate([*r["patterns"], not h]) if p)] for h, r in zip(found, got, strict=True)], voters + PATTERNS)
     sides = np.array([1] * (voters + 2) + [0])
     toxic = np.array([r["toxic"] for r in got])
-    right, wrong = toxic @ votes, (1 - toxic) @ votes
+    right, wrong = votes.back(toxic), votes.back(1 - toxic)
     right[-1], wrong[-1] = wrong[-1], right[-1]
     posterior, accuracies, corr = label_model(votes, sides, float(np.clip(toxic.mean(), 0.01, 0.99)), right, wrong)
     importance = np.where(toxic == 1, 1 / kept[1], 1 / kept[0])
@@ -236,6 +280,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
     whole = isinstance(schema[0].dataType, (T.LongType, T.IntegerType))
 
+    model = replace(model, correlations=None)  # not sent to the executors
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = batch["doc_id"].astype("Int64") if whole else batch["doc_id"]

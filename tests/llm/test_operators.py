@@ -124,6 +124,31 @@ def test_toxicity_of_a_copied_text_does_not_crowd_out_the_terms(spark):
     assert {"grubnik$", "vermlin$", "slodge$"} <= set(model.lexicon.at) and len(model.lexicon.at) > 1300
 
 
+def test_toxicity_absence_is_of_all_entries(spark):
+    many, few = made_up(120), ["grubnik", "vermlin", "slodge"]
+    rows = [(" ".join(many[i % 3::3]), 1) for i in range(300)]
+    rows += [(f"you are such a {few[i % 3]} person number n{i} here", 1) for i in range(90)]
+    rows += [(f"you are such a kind person number n{i} here", 0) for i in range(1500)]
+    model, scores = trained(spark, rows)
+    assert len(model.lexicon.at) > 500 and min(model.lexicon.at[f"{w}$"] for w in few) >= 300
+    assert all((x >= 0.7) == (y == 1) for x, (_, y) in zip(scores, rows, strict=True))
+
+
+def test_crowding_is_the_sum_of_close_correlations():
+    rng = np.random.default_rng(2)
+    q, own = rng.random(400), rng.random((400, 5)) < 0.3
+    votes = own[:, [0, 1, 2, 0, 3, 4, 1, 0]].astype(float)
+    votes[:6, 3] = 0
+    sides = np.array([1, 1, 1, 1, 1, 0, 1, 0])
+    left = votes - np.outer(q, q @ votes / q.sum()) - np.outer(1 - q, (1 - q) @ votes / (1 - q).sum())
+    corr = (left.T @ left) / np.sqrt(np.outer((left * left).sum(axis=0), (left * left).sum(axis=0)))
+    close = np.where((corr > 0.8) & (sides[:, None] == sides[None, :]) & ~np.eye(8, dtype=bool), corr, 0)
+    found = toxicity.Correlations(toxicity.Sparse([list(np.flatnonzero(v)) for v in votes], 8), q)
+    for block in (3, 1024):
+        assert np.allclose(found.crowding(sides, block=block), close.sum(axis=1), atol=1e-4)
+    assert abs(found[0, 3] - corr[0, 3]) < 1e-4 and close[0, 3] > 0.8
+
+
 def test_linear_is_the_best_fit():
     rng = np.random.default_rng(1)
     x = (rng.random((300, 12)) < 0.2).astype(float)
