@@ -6,9 +6,10 @@
    repeat each other within a class; correlated voters share their weight.
 3. A linear classifier is fitted to the posterior labels and scores every document.
 
-Statistics for step 1 are counted where the rows are, and every entry that passes the test on its gain is kept: features
-of a text with many copies pass as well, and none of them takes another's place. The fit sees a documented, bounded
-sample of labelled rows; scoring is a map over all rows without a shuffle.
+Statistics for step 1 are counted over all labelled rows, where the rows are, and every entry that passes the test on its
+gain is kept: features of a text with many copies pass as well, and none of them takes another's place. The fit sees a
+documented, bounded sample of labelled rows, in which every entry has some of its rows; scoring is a map over all rows
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from returnlens.llm.common import in_sample, sample_fraction
+from returnlens.llm.common import sample_fraction, small
+from returnlens.session import settle
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"\b[A-Z]{4,}\b")
@@ -34,8 +36,10 @@ PREFIXES = (4, 5, 6, 7)
 PATTERNS = 3
 #: Log likelihood that a lexicon entry must gain over chance, about the logarithm of how many entries are tried.
 MIN_GAIN = 12.0
+#: About so many rows of every lexicon entry are in the sample of the fit, or all where there are fewer.
+ENTRY_ROWS = 20
 _DF = T.StructType([T.StructField("feature", T.StringType()), T.StructField("toxic_docs", T.LongType()), T.StructField("clean_docs", T.LongType())])
-_HITS = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("patterns", T.ArrayType(T.IntegerType()))])
+_HITS = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("patterns", T.ArrayType(T.IntegerType())), T.StructField("chance", T.DoubleType())])
 
 
 def features(word: str) -> list[str]:
@@ -169,18 +173,19 @@ class Correlations:
         return (total + np.where(own > near, (many - 1) * own, 0))[of]
 
 
-def label_model(votes: Sparse | np.ndarray, sides: np.ndarray, prior: float, right: np.ndarray, wrong: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, Correlations]:
+def label_model(votes: Sparse | np.ndarray, sides: np.ndarray, prior: float, right: np.ndarray, wrong: np.ndarray, rounds: int = 30, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, Correlations]:
     """Posterior of the toxic class, accuracies, correlations.
 
     ``votes`` tells which voter fires where, ``sides`` which class it then votes for; a voter that does not fire abstains.
     Expectation maximisation over the latent class, one accuracy a voter, with ``right`` and ``wrong`` as counts known
-    beforehand. A voter moves the odds by how far its accuracy lies above the class's own share. Voters that go together
+    beforehand; ``weights`` tells how many rows each row stands for. A voter moves the odds by how far its accuracy lies above the class's own share. Voters that go together
     inside the classes tell one thing: the evidence of each is divided by one plus the sum of its near-complete
     correlations.
     """
     if not isinstance(votes, Sparse):
         votes = Sparse([np.flatnonzero(v).tolist() for v in votes], votes.shape[1])
-    share = np.ones(votes.shape[1])
+    weights = np.ones(votes.shape[0]) if weights is None else weights
+    share, fired = np.ones(votes.shape[1]), votes.back(weights)
     accuracy = (right + 0.5) / (right + wrong + 1.0)
     base = np.log(prior / (1 - prior))
     q = np.zeros(votes.shape[0])
@@ -188,8 +193,8 @@ def label_model(votes: Sparse | np.ndarray, sides: np.ndarray, prior: float, rig
         odds = np.log(accuracy / (1 - accuracy))
         evidence = share * np.where(sides == 1, np.maximum(odds - base, 0), -np.maximum(odds + base, 0))
         q = 1.0 / (1.0 + np.exp(-np.clip(base + votes.times(evidence), -30, 30)))
-        agreed = np.where(sides == 1, votes.back(q), votes.back(1 - q))
-        accuracy = np.clip((agreed + right + 0.5) / (votes.fired + right + wrong + 1.0), 0.01, 0.99)
+        agreed = np.where(sides == 1, votes.back(weights * q), votes.back(weights * (1 - q)))
+        accuracy = np.clip((agreed + right + 0.5) / (fired + right + wrong + 1.0), 0.01, 0.99)
         if step % 10 == 9:
             share = 1.0 / (1.0 + Correlations(votes, q).crowding(sides))
     return q, accuracy, Correlations(votes, q)
@@ -230,8 +235,9 @@ def linear(hits: list[list[int]], size: int, target: np.ndarray, importance: np.
 def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int = 8000, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
     """Fit on the labelled rows where ``usable`` (over the column ``doc_id`` of the labels) holds.
 
-    At most about ``max_labelled`` rows are used, half of them toxic where there are as many, chosen by hash of the id and
-    weighted back to the true class shares. With no toxic row to learn from, every score is the share of toxic rows.
+    The lexicon is counted over all of them. The label model and the regression use about ``max_labelled`` rows, half of
+    them toxic where there are as many, and where an entry of the lexicon has few rows, these as well; rows are chosen by
+    hash of id and text and weighted back. With no toxic row to learn from, every score is the share of toxic rows.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(toxic_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(usable).dropDuplicates(["doc_id"])
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -239,34 +245,43 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int
         share = 0.99 if sizes.get(1) else 0.01
         return Model(Lexicon([]), np.zeros(0), float(np.log(share / (1 - share))), np.zeros(0), None)
     kept = {k: sample_fraction(n, max_labelled // 2) for k, n in sizes.items()}
-    chosen = known.where(in_sample(F.col("doc_id"), F.when(F.col("toxic") == 1, kept[1]).otherwise(kept[0])))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # About max_labelled ids, whatever the tables hold.
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    counts = rows.mapInPandas(_document_counts, _DF).groupBy("feature").agg(F.sum("toxic_docs").alias("a"), F.sum("clean_docs").alias("b")).where(F.col("a") + F.col("b") >= min_docs)
-    # Counts as if no class had been sampled more sparsely than the other.
-    a, b = F.col("a") / kept[1], F.col("b") / kept[0]
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    rows = settle(texts.join(small(known), "doc_id").select("toxic", "text", place.alias("place")), "labelled")
+    counts = rows.select("toxic", "text").mapInPandas(_document_counts, _DF).groupBy("feature").agg(F.sum("toxic_docs").alias("a"), F.sum("clean_docs").alias("b")).where(F.col("a") + F.col("b") >= min_docs)
+    a, b = F.col("a"), F.col("b")
     share = sizes[1] / (sizes[0] + sizes[1])
     gain = F.col("a") * F.log((a + 0.1) / ((a + b) * share + 0.1)) + F.col("b") * F.log((b + 0.1) / ((a + b) * (1 - share) + 0.1))
-    sure = F.col("a") / (F.col("a") + b * kept[1] + 3.84)
-    best = counts.select("feature", gain.alias("gain"), sure.alias("sure")).where((F.col("sure") >= 0.5) & (F.col("gain") >= MIN_GAIN)).collect()
+    sure = a / (a + b + 3.84)
+    best = counts.select("feature", gain.alias("gain"), sure.alias("sure"), (a + b).alias("rows")).where((F.col("sure") >= 0.5) & (F.col("gain") >= MIN_GAIN)).collect()
     best.sort(key=lambda r: (-r["gain"], r["feature"]))
     lexicon = Lexicon([r["feature"] for r in best])
 
+    chances = np.minimum(1.0, ENTRY_ROWS / np.array([r["rows"] for r in best]))
+
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "hits": [sorted(lexicon.hits(t)) for t in batch["text"]], "patterns": [patterns(t) for t in batch["text"]]})
-
+            out = []
+            for toxic, text, place in zip(batch["toxic"], batch["text"], batch["place"], strict=True):
+                own = sorted(lexicon.hits(text))
+                chance = max(kept[toxic], chances[own].max(initial=0.0))
+                if place < chance:
+                    out.append((toxic, own, patterns(text), chance))
+            yield pd.DataFrame(out, columns=_HITS.names)
+
+    # About max_labelled rows and ENTRY_ROWS for each entry, whatever the tables hold.
     got = rows.mapInPandas(hits, _HITS).collect()
     found = [r["hits"] for r in got]
     voters = len(best)
     votes = Sparse([[*h, *(voters + i for i, p in enumerate([*r["patterns"], not h]) if p)] for h, r in zip(found, got, strict=True)], voters + PATTERNS)
     sides = np.array([1] * (voters + 2) + [0])
     toxic = np.array([r["toxic"] for r in got])
-    right, wrong = votes.back(toxic), votes.back(1 - toxic)
+    # Accuracies and prior of the table, not of the sample with its many toxic rows.
+    importance = np.array([1 / r["chance"] for r in got])
+    right, wrong = votes.back(importance * toxic), votes.back(importance * (1 - toxic))
     right[-1], wrong[-1] = wrong[-1], right[-1]
-    posterior, accuracies, corr = label_model(votes, sides, float(np.clip(toxic.mean(), 0.01, 0.99)), right, wrong)
-    importance = np.where(toxic == 1, 1 / kept[1], 1 / kept[0])
+    prior = float(np.clip(np.average(toxic, weights=importance), 0.01, 0.99))
+    posterior, accuracies, corr = label_model(votes, sides, prior, right, wrong, weights=importance)
     weights, bias = linear(found, len(best), posterior, importance)
     return Model(lexicon, weights, bias, accuracies, corr)
 

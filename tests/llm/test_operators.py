@@ -134,6 +134,14 @@ def test_toxicity_absence_is_of_all_entries(spark):
     assert all((x >= 0.7) == (y == 1) for x, (_, y) in zip(scores, rows, strict=True))
 
 
+def test_toxicity_counts_terms_over_all_labelled_rows(spark):
+    rows = [(f"you are such a {'zorgblat' if i % 80 == 0 else 'grubnik'} person number n{i} here", 1) for i in range(1600)]
+    rows += [(f"you are such a kind person number n{i} here", 0) for i in range(1600)]
+    model, scores = trained(spark, rows, max_labelled=200)
+    assert "zorgblat$" in model.lexicon.at
+    assert all((x >= 0.7) == (y == 1) for x, (_, y) in zip(scores, rows, strict=True))
+
+
 def test_crowding_is_the_sum_of_close_correlations():
     rng = np.random.default_rng(2)
     q, own = rng.random(400), rng.random((400, 5)) < 0.3
