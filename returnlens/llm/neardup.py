@@ -109,6 +109,20 @@ def bands_for(similarity: float) -> int:
     return min(LONGS, math.ceil(math.log(MISS) / math.log(1 - agreement(similarity) ** ROWS)))
 
 
+def least_agreeing(similarity: float) -> int:
+    """Agreeing registers that a pair of this similarity falls short of with a probability of at most a tenth of ``MISS``.
+
+    Registers agree least often where one set holds the other.
+    """
+    p, tail, least = float(1 - _differ(1 - similarity)), 0.0, 0
+    while least < REGISTERS:
+        tail += math.comb(REGISTERS, least) * p**least * (1 - p) ** (REGISTERS - least)
+        if tail > MISS / 10:
+            break
+        least += 1
+    return least
+
+
 def may_reach(a: np.ndarray, b: np.ndarray, na: int, nb: int, similarity: float, slack: float = 12.5) -> bool:
     """Joint likelihood test: is ``similarity`` or more within reach of what the registers of both sets show?"""
     more, less = int((a > b).sum()), int((a < b).sum())
@@ -206,7 +220,7 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str =
     centre = rows.groupBy("bucket").agg(F.max(F.struct("weight", "id"))["id"].alias("centre"))
     stars = rows.join(centre, "bucket").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     side = reps.select("id", "n", "sketch")
-    floor = math.floor(REGISTERS * agreement(similarity) - 4 * math.sqrt(REGISTERS * agreement(similarity) * (1 - agreement(similarity))))
+    floor = least_agreeing(similarity)
 
     def near(x: str, y: str) -> Column:
         sizes = 100 * F.least(f"n_{x}", f"n_{y}") >= percent * F.greatest(f"n_{x}", f"n_{y}")

@@ -335,6 +335,19 @@ def test_sketch_estimates_and_merges():
     assert not neardup.may_reach(sa, sb, 3000, 3000, 0.85) and neardup.may_reach(sa, su, 3000, 3600, 0.8)
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_register_filter_rarely_loses_a_link(spark, monkeypatch, similarity):
+    # The filter of classes() itself: as many agreeing registers as it asks for, taken from the expression it builds.
+    from math import comb
+
+    asked = []
+    monkeypatch.setattr(neardup, "_agree", lambda a, b: type("Agree", (), {"__ge__": lambda self, n: (asked.append(n), F.lit(True))[1]})())
+    neardup.classes(spark.createDataFrame([(1, "a b c d"), (2, "a b c e")], "doc_id long, text string"), shingle=1, percent=round(100 * similarity))
+    # One set inside the other: the larger alone has 1 - similarity of the union.
+    p = 1 + np.log(1 - (1 - similarity) * (neardup.BASE - 1) / neardup.BASE) / np.log(neardup.BASE)
+    assert asked and all(sum(comb(512, k) * p**k * (1 - p) ** (512 - k) for k in range(n)) < neardup.MISS for n in asked)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(300, 340)] + [(5, 5)] + [(901, 900)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
