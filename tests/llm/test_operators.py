@@ -538,6 +538,15 @@ def test_decontamination_awkward(spark, awkward):
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items_and_of_texts_under_one_id(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "pq")
+    docs = spark.createDataFrame([(1, LONG + "Red\nhat " + LONG), (2, LONG + "red green hat"), (3, LONG + one), (4, two + " " + LONG), (5, "hat"), (6, f"{one} {two} a b c d red hat")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "red hat"), (2, one), (2, two), (3, "a b c d"), (4, "hat"), (4, "a b c d red hat")], "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1, 1, 1, 1.0), (6, 1, 1, 1, 1.0), (3, 2, 26, 26, 1.0), (4, 2, 26, 26, 1.0), (6, 2, 26, 26, 1.0), (6, 3, 1, 1, 1.0),
+                   (1, 4, 1, 1, 1.0), (2, 4, 1, 1, 1.0), (5, 4, 1, 1, 1.0), (6, 4, 2, 2, 1.0)}
+
+
 def test_missing_minima_are_rare():
     from math import comb
 
