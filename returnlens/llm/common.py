@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,13 @@ def fold(key: Column, parts: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts))
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer that spreads every input bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast where counting proves that ``df`` stays under ``rows`` rows; else leave the join to the planner."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
