@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,19 +52,41 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark)}/returnlens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{label}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+_open: list[list[str]] = []
+
+
+def settle(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write an intermediate that several branches read and continue from the written table.
 
     Lineage ends at files every executor can read again, and the branches see a scan with known size and columns to
-    prune.
+    prune. Within ``scratch``, what is not to ``keep`` goes with it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if _open and not keep:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the tables settled inside and not kept; nothing that is read later may rest on them."""
+    own: list[str] = []
+    _open.append(own)
+    try:
+        yield
+    finally:
+        _open.pop()
+        for path in own:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard_settled(spark: SparkSession) -> None:
     """Remove everything this application settled; tables read from it are gone afterwards."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/returnlens/{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, f"{checkpoint_dir(spark)}/returnlens/{spark.sparkContext.applicationId}")
