@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from returnlens.catalog.core import seen_bars
 from returnlens.catalog.panels import Panels
-from returnlens.catalog.registry import query
+from returnlens.catalog.registry import ORACLES, query
 from returnlens.catalog.runs import METRICS_SQL, fixed, shown_metrics, stored
 from returnlens.operators import events, reports, universe, windows
 from returnlens.operators.pit import active_ticker_map
@@ -133,8 +133,8 @@ def exposure_review_job(p: Panels):
 
 @query("run_lookup", """
 SELECT h.ticker, r.window_start, r.window_end, c.driver, CAST(round(CAST(c.contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps
-FROM (SELECT * FROM run_expanded WHERE security_id = 3 AND cadence = 'weekly' ORDER BY window_end DESC LIMIT 1) r
-JOIN part_expanded c ON c.security_id = r.security_id AND c.cadence = r.cadence AND c.window_start = r.window_start AND c.window_end = r.window_end
+FROM (SELECT * FROM win WHERE security_id = 3 AND cadence = 'weekly' ORDER BY window_end DESC LIMIT 1) r
+JOIN (SELECT * FROM part_expanded WHERE security_id = 3 AND cadence = 'weekly') c ON c.window_start = r.window_start AND c.window_end = r.window_end
 JOIN (SELECT ticker, security_id FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY active_from DESC, security_id) AS rn
       FROM ticker_history WHERE active_to IS NULL) t WHERE rn = 1) h ON h.security_id = r.security_id""")
 def run_lookup(p: Panels):
@@ -196,19 +196,19 @@ def monthly_price_store(p: Panels):
 
 
 @query("style_exposures", """
-SELECT security_id, substr(d.name, 19, length(d.name) - 19) AS factor_name, window_end AS as_of, count(*) AS rows FROM (
-  SELECT security_id, window_end, unnest(['Style descriptor (momentum)', 'Style descriptor (short_term_reversal)',
-    'Style descriptor (realized_volatility)', 'Style descriptor (liquidity)']) AS name FROM (
-    SELECT w.security_id, w.window_end FROM win w JOIN bars b ON b.security_id = w.security_id AND b.event_date >= w.window_start - 252
-     AND b.event_date <= w.window_end WHERE w.cadence = 'monthly' GROUP BY w.security_id, w.window_start, w.window_end HAVING count(*) >= 21) s) d
-GROUP BY ALL""")
+SELECT security_id, cadence, window_start, replace(replace(name, 'Style descriptor (', ''), ')', '') AS factor_name, window_end AS as_of, value AS exposure_value,
+       observations FROM (""" + ORACLES["style_descriptors_window"] + """) d""")
 def style_exposures(p: Panels):
-    """Exposure rows of the monthly windows' style descriptors."""
+    """Exposure rows of every window's style descriptors, with their values."""
     from returnlens.catalog.core import LOOKBACK, prepared
     from returnlens.operators import style
 
     ready = prepared(p)
     keys = ["security_id", "cadence", "window_start", "window_end", "observed_return_bps"]
-    found = style.window_descriptors(ready.windows.where("cadence = 'monthly'").select(*keys), ready.bars, LOOKBACK)
-    rows = style.exposures_from_descriptors(found.withColumn("as_of", F.col("window_end")), F.col("as_of").cast("timestamp_ntz"))
-    return rows.groupBy("security_id", "factor_name", F.col("event_time").cast("date").alias("as_of")).agg(F.count("*").alias("rows"))
+    found = style.window_descriptors(ready.windows.select(*keys), ready.bars, LOOKBACK)
+    as_of = F.col("window_end").cast("timestamp_ntz")
+    rows = style.exposures_from_descriptors(found, as_of, keep=["cadence", "window_start"])
+    return rows.select(
+        "security_id", "cadence", "window_start", "factor_name", F.col("event_time").cast("date").alias("as_of"),
+        F.round("exposure_value", 4).alias("exposure_value"), F.get_json_object("diagnostics", "$.observations").cast("long").alias("observations"),
+    )

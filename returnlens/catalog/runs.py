@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from returnlens.catalog.core import market_data, prepared, seen_bars, settings
-from returnlens.catalog.panels import CUTOFF, Panels
+from returnlens.catalog.panels import CUTOFF, DUCK_NAMES, PANELS, Panels
 from returnlens.catalog.registry import STEPS, query
-from returnlens.catalog.steps import AT
-from returnlens.operators import assemble, events, models, quality, reports, universe, upsert, windows
+from returnlens.catalog.steps import AT, LOOKBACK
+from returnlens.operators import assemble, events, models, pit, quality, reports, universe, upsert, windows
 from returnlens.plans import attribution as plan
-from returnlens.plans import backfill
+from returnlens.plans import availability, backfill
 from returnlens.session import settle
 from returnlens.vocab import METHODOLOGIES
 
@@ -274,14 +274,14 @@ def reconciliation_check(p: Panels):
 @query("lookahead_audit", """
 SELECT security_id, cadence, window_start, window_end, 'Unexplained residual' AS name,
        CASE security_id % 3 WHEN 0 THEN '2001-06-01 02:00:00' ELSE '2001-06-01 00:30:00' END AS stated_available
-FROM win WHERE cadence = 'monthly' AND security_id % 3 <> 1""")
+FROM win WHERE security_id % 3 <> 1""")
 def lookahead_audit(p: Panels):
-    """Availabilities stated in three ways are planted into the residual rows of monthly runs; two lie after the cutoff."""
+    """Availabilities stated in three ways are planted into the residual rows of all runs; two lie after the cutoff."""
     runs, parts = stored(p)
-    monthly = runs.where("cadence = 'monthly'").select("attribution_run_id", (F.col("security_id") % 3).alias("kind"))
+    kinds = runs.select("attribution_run_id", (F.col("security_id") % 3).alias("kind"))
     stated = F.when(F.col("kind") == 0, "2001-06-01T02:00:00Z").when(F.col("kind") == 1, "2001-05-31T23:00:00Z").otherwise("2001-05-31T22:30:00-02:00")
     payload = F.when(F.col("driver") == "unexplained_residual", F.to_json(F.struct(stated.alias("timestamp_available")))).otherwise(F.col("evidence_payload"))
-    planted = parts.join(monthly, "attribution_run_id").withColumn("evidence_payload", payload)
+    planted = parts.join(kinds, "attribution_run_id").withColumn("evidence_payload", payload)
     found = quality.lookahead_breaks(runs, planted).select("attribution_run_id", "name", "stated_available")
     return found.join(runs.select("attribution_run_id", *windows.WINDOW), "attribution_run_id").select(
         *windows.WINDOW, "name", F.date_format("stated_available", "yyyy-MM-dd HH:mm:ss").alias("stated_available")
@@ -289,14 +289,23 @@ def lookahead_audit(p: Panels):
 
 
 @query("driver_order_audit", """
-SELECT security_id, cadence, window_start, window_end, name FROM part_expanded WHERE cadence = 'monthly' AND driver = 'sector' AND security_id % 4 = 0""")
+SELECT security_id, cadence, window_start, window_end, name, 'unknown driver' AS problem FROM part_expanded
+WHERE driver = 'sector' AND security_id % 4 = 0
+UNION ALL
+SELECT p.security_id, p.cadence, p.window_start, p.window_end, p.name, 'systematic row after an event' FROM part_expanded p
+WHERE p.driver = 'macro' AND p.security_id % 5 = 2 AND EXISTS (SELECT 1 FROM part_expanded e WHERE e.security_id = p.security_id
+  AND e.cadence = p.cadence AND e.window_start = p.window_start AND e.window_end = p.window_end AND e.driver = 'event')""")
 def driver_order_audit(p: Panels):
-    """Rows of a driver outside the known order, planted into the sector rows of a quarter of the securities."""
+    """Two faults planted into all runs: sector rows under an unknown driver, and macro rows moved behind the events."""
     runs, parts = stored(p)
-    keyed = with_key(runs.where("cadence = 'monthly'"), parts)
+    keyed = with_key(runs, parts)
     strange = (F.col("driver") == "sector") & (F.col("security_id") % 4 == 0)
-    found = quality.driver_order_breaks(keyed.withColumn("driver", F.when(strange, "hearsay").otherwise(F.col("driver"))))
-    return found.select(*windows.WINDOW, "name")
+    unknown = quality.driver_order_breaks(keyed.withColumn("driver", F.when(strange, "hearsay").otherwise(F.col("driver"))))
+    moved = F.when((F.col("driver") == "macro") & (F.col("security_id") % 5 == 2), 1000).otherwise(0)
+    placed = quality.sorted_positions(keyed, ["attribution_run_id"]).withColumn("position", F.col("position") + moved)
+    late = quality.systematic_order_breaks(placed, ["attribution_run_id"])
+    shown = lambda found, problem: found.select(*windows.WINDOW, "name", F.lit(problem).alias("problem"))
+    return shown(unknown, "unknown driver").unionByName(shown(late, "systematic row after an event"))
 
 
 @query("pit_columns_audit", """
@@ -314,14 +323,127 @@ def pit_columns_audit(p: Panels):
     return reduce(DataFrame.unionByName, rows)
 
 
-@query("input_availability_audit", """
-SELECT w.security_id, w.cadence, w.window_start, w.window_end,
-       strftime(max(b.timestamp_available), '%Y-%m-%d') AS inputs_available
-FROM win w JOIN bars b ON b.security_id = w.security_id AND b.event_date <= w.window_end GROUP BY ALL""")
+# ---- oracle side: what every window reads, kind by kind, by literal ranges
+_seen = """
+SELECT {columns}, timestamp_available AS available FROM (SELECT *, row_number() OVER (PARTITION BY {key}, event_date
+  ORDER BY timestamp_available DESC, source{more}) AS rn FROM {table} WHERE timestamp_available <= {at}) r WHERE rn = 1"""
+STEPS["fac_seen"] = _seen.format(columns="factor_name, event_date", key="factor_name", more="", table="factor_return", at=AT)
+STEPS["mac_seen"] = _seen.format(columns="series_name, event_date", key="series_name", more=", vintage NULLS LAST", table="macro_series", at=AT)
+STEPS["spans"] = "SELECT DISTINCT window_start, window_end FROM win"
+STEPS["fac_newest"] = f"""
+SELECT s.window_start, s.window_end, f.factor_name, max(f.available) AS available FROM spans s
+JOIN fac_seen f ON f.event_date >= s.window_start - {LOOKBACK} AND f.event_date <= s.window_end GROUP BY ALL"""
+STEPS["mac_newest"] = f"""
+SELECT s.window_start, s.window_end, f.series_name, max(f.available) AS available FROM spans s
+JOIN mac_seen f ON f.event_date >= s.window_start - {LOOKBACK} AND f.event_date <= s.window_end GROUP BY ALL"""
+STEPS["factor_keys"] = """
+SELECT security_id, unnest(['Mkt-RF', 'SMB', 'HML', 'RMW', 'CMA']) AS factor_name FROM security
+UNION ALL SELECT security_id, concat('sector:', sector) FROM classes
+UNION ALL SELECT security_id, concat('industry:', industry) FROM classes WHERE industry IS NOT NULL AND industry <> ''"""
+STEPS["macro_keys"] = """
+SELECT DISTINCT g.security_id, m.series_name FROM gates g JOIN (VALUES ('macro:2y_yield_change', 'DGS2'), ('macro:10y_yield_change', 'DGS10'),
+  ('macro:hy_spread_change', 'BAMLH0A0HYM2'), ('macro:ig_spread_change', 'BAMLC0A0CM'), ('macro:vix_return', 'VIXCLS'),
+  ('macro:inflation_expectation_change', 'T5YIE'), ('macro:2s10s_curve_change', 'DGS10'), ('macro:2s10s_curve_change', 'DGS2')) m(series_key, series_name)
+  ON m.series_key = g.series_key WHERE g.gate > 0"""
+STEPS["ret_seen"] = """
+SELECT security_id, event_date, greatest(timestamp_available, earlier) AS available FROM (
+  SELECT security_id, event_date, timestamp_available, lag(timestamp_available) OVER (PARTITION BY security_id ORDER BY event_date) AS earlier FROM bars) b
+WHERE earlier IS NOT NULL"""
+STEPS["ranged_inputs"] = f"""
+SELECT w.security_id, w.cadence, w.window_start, w.window_end, 'bar' AS kind, max(b.timestamp_available) AS available
+FROM win w JOIN bars b ON b.security_id = w.security_id AND b.event_date >= w.window_start - {LOOKBACK} AND b.event_date <= w.window_end GROUP BY ALL
+UNION ALL
+SELECT w.security_id, w.cadence, w.window_start, w.window_end, 'factor', max(n.available) FROM win w JOIN factor_keys k ON k.security_id = w.security_id
+JOIN fac_newest n ON n.factor_name = k.factor_name AND n.window_start = w.window_start AND n.window_end = w.window_end GROUP BY ALL
+UNION ALL
+SELECT w.security_id, w.cadence, w.window_start, w.window_end, 'macro', max(n.available) FROM win w JOIN macro_keys k ON k.security_id = w.security_id
+JOIN mac_newest n ON n.series_name = k.series_name AND n.window_start = w.window_start AND n.window_end = w.window_end GROUP BY ALL
+UNION ALL
+SELECT w.security_id, w.cadence, w.window_start, w.window_end, 'peer', max(r.available) FROM win w JOIN weights t ON t.target_security_id = w.security_id
+JOIN ret_seen r ON r.security_id = t.peer_security_id AND r.event_date >= w.window_start - {LOOKBACK} AND r.event_date <= w.window_end GROUP BY ALL
+UNION ALL
+SELECT w.security_id, w.cadence, w.window_start, w.window_end, 'event', max(e.timestamp_available) FROM win w JOIN security s ON s.security_id = w.security_id
+JOIN event e ON e.company_id = s.company_id AND CAST(e.event_time AS DATE) >= w.window_start AND CAST(e.event_time AS DATE) <= w.window_end
+WHERE e.timestamp_available <= {AT} GROUP BY ALL"""
+STEPS["held_inputs"] = f"""
+SELECT security_id, 'classification' AS kind, timestamp_available AS available FROM (
+  SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY event_date DESC) AS rn FROM classification WHERE timestamp_available <= {AT}) c WHERE rn = 1
+UNION ALL
+SELECT target_security_id, 'basket', max(available) FROM (
+  SELECT target_security_id, timestamp_available AS available FROM peer_basket WHERE timestamp_available <= {AT}
+  UNION ALL SELECT m.target_security_id, p.timestamp_available FROM seen_members m JOIN peer_member p ON p.peer_security_id = m.peer_security_id
+    AND p.peer_basket_id = m.target_security_id) b GROUP BY ALL
+UNION ALL
+SELECT s.security_id, 'exposure', max(e.timestamp_available) FROM company_exposure e JOIN security s ON s.company_id = e.company_id
+WHERE e.timestamp_available <= {AT} GROUP BY ALL"""
+STEPS["newest_inputs"] = """
+SELECT security_id, cadence, window_start, window_end, kind, available FROM ranged_inputs
+UNION ALL SELECT w.security_id, w.cadence, w.window_start, w.window_end, h.kind, h.available FROM win w JOIN held_inputs h ON h.security_id = w.security_id"""
+LATE_FACTOR = "factor_name = 'SMB' AND event_date >= DATE '1997-03-03' AND event_date <= DATE '1997-03-07'"
+
+
+@query("input_availability_audit", f"""
+SELECT security_id, cadence, window_start, window_end, kind, strftime(available, '%Y-%m-%d %H:%M:%S') AS inputs_available, available > {AT} AS late
+FROM newest_inputs""", steps={"fac_seen": f"""
+SELECT factor_name, event_date, CASE WHEN {LATE_FACTOR} THEN TIMESTAMP '2002-01-01 00:00:00' ELSE available END AS available
+FROM ({STEPS["fac_seen"]}) f"""})
 def input_availability_audit(p: Panels):
-    ready = prepared(p)
-    seen = quality.input_availability(ready.windows, ready.bars)
-    return seen.select(*windows.WINDOW, F.date_format("inputs_available", "yyyy-MM-dd").alias("inputs_available"))
+    """Newest availability of every kind of input of every window, with a week of one factor planted after the cutoff."""
+    inputs = availability.used_inputs(market_data(p), settings())
+    planted = (F.col("kind") == "factor") & (F.col("key") == "SMB") & F.col("event_date").between(F.lit("1997-03-03").cast("date"), F.lit("1997-03-07").cast("date"))
+    late = F.when(planted, F.lit("2002-01-01 00:00:00").cast("timestamp_ntz")).otherwise(F.col("value"))
+    seen = availability.newest(prepared(p).windows, replace(inputs, facts=inputs.facts.withColumn("value", late)))
+    return seen.select(
+        *windows.WINDOW, "kind", F.date_format("inputs_available", "yyyy-MM-dd HH:mm:ss").alias("inputs_available"),
+        (F.col("inputs_available") > F.lit(CUTOFF).cast("timestamp_ntz")).alias("late"),
+    )
+
+
+#: Cutoff of the runs that are stored before bars are restated.
+SINCE = "2001-05-20 00:00:00"
+RESTATED = "security_id % 8 = 3 AND event_date >= DATE '1997-03-03' AND event_date <= DATE '1997-03-14'"
+_restated_bars = {"price_raw": f"""{PANELS["price_raw"].format(**DUCK_NAMES)}
+UNION ALL
+SELECT security_id, event_date, adjusted_close * 1.02, adjusted_close * 1.02, volume, 'USD', 'c', TIMESTAMP '2001-05-25 00:00:00', TIMESTAMP '2001-05-25 00:00:00'
+FROM first_prints WHERE {RESTATED}"""}
+
+
+def restated(p: Panels) -> plan.MarketData:
+    """Two weeks of bars of some securities restated, available between the stored runs' cutoff and the present one."""
+    late = F.lit("2001-05-25 00:00:00").cast("timestamp_ntz")
+    first = p.price_raw.where((F.col("source") == "a") & F.expr(RESTATED))
+    again = first.withColumns({
+        "close": F.col("adjusted_close") * 1.02, "adjusted_close": F.col("adjusted_close") * 1.02, "source": F.lit("c"),
+        "ingestion_time": late, "timestamp_available": late,
+    })
+    return replace(market_data(p), bars=p.price_raw.unionByName(again))
+
+
+def stored_before(p: Panels) -> DataFrame:
+    """The windows that runs at the earlier cutoff hold, as a store lists them."""
+    before = replace(settings(), cutoff=SINCE)
+    model, basket = METHODOLOGIES["legacy"]
+    built = plan.select_windows(pit.visible_bars(p.price_raw, SINCE), before)
+    return built.select(*windows.WINDOW, F.lit(model).alias("model_version"), F.lit(basket).alias("factor_basket_version"))
+
+
+TOUCHED_SQL = f"SELECT DISTINCT security_id, cadence, window_start, window_end FROM newest_inputs WHERE available > TIMESTAMP '{SINCE}'"
+
+
+@query("touched_windows", TOUCHED_SQL, steps=_restated_bars)
+def touched_windows(p: Panels):
+    """Windows to attribute again: with restated bars of their own or of a peer, or with anything newer than the stored runs."""
+    return availability.touched_windows(restated(p), settings(), stored_before(p), SINCE).select(*windows.WINDOW)
+
+
+@query("refreshed_attribution", f"""
+SELECT r.security_id, r.cadence, r.window_start, r.window_end, r.driver, r.name,
+       CAST(round(CAST(r.contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps, count(*) AS copies
+FROM part_expanded r JOIN ({TOUCHED_SQL}) t ON t.security_id = r.security_id AND t.cadence = r.cadence AND t.window_start = r.window_start
+ AND t.window_end = r.window_end GROUP BY ALL""", steps=_restated_bars)
+def refreshed_attribution(p: Panels):
+    """The touched windows attributed again on the restated data, and no others."""
+    return copies(*availability.refresh(restated(p), settings(), stored_before(p), SINCE))
 
 
 @query("upsert_prices", """
@@ -461,10 +583,11 @@ def run_narratives(p: Panels):
 
 
 @query("run_details", """
-SELECT r.security_id, r.cadence, r.window_start, r.window_end, c.driver, c.name, CAST(round(CAST(c.contribution_bps AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps,
-       CASE WHEN abs(r.observed_return_bps) >= 25 THEN CAST(round(CAST(c.share_of_move AS DECIMAL(24, 8)), 5) AS DOUBLE) END AS share_of_move
-FROM run_expanded r LEFT JOIN part_expanded c ON c.security_id = r.security_id AND c.cadence = r.cadence
- AND c.window_start = r.window_start AND c.window_end = r.window_end""")
+SELECT security_id, cadence, window_start, window_end, driver, name, CAST(round(CAST(round(contribution_bps, 6) AS DECIMAL(24, 6)), 3) AS DOUBLE) AS contribution_bps,
+       CASE WHEN abs(round(observed_return_bps, 6)) >= 25 THEN CAST(round(CAST(round(contribution_bps / observed_return_bps, 8) AS DECIMAL(24, 8)), 5) AS DOUBLE) END AS share_of_move
+FROM (SELECT security_id, cadence, window_start, window_end, observed_return_bps, driver, name, contribution_bps FROM expanded_rows
+      UNION ALL SELECT security_id, cadence, window_start, window_end, observed_return_bps, 'unexplained_residual', 'Unexplained residual', residual_bps
+      FROM totals_expanded) c""")
 def run_details(p: Panels):
     return reports.run_details(*stored(p)).select(
         *windows.WINDOW,

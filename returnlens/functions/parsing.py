@@ -8,13 +8,17 @@ from pyspark.sql import types as T
 
 
 def utc_timestamp(value: Column) -> Column:
-    """ISO text to a UTC wall-clock timestamp; text without a zone is taken as UTC, bad text is null."""
+    """ISO text to a UTC wall-clock timestamp; text without a zone is taken as UTC, bad text is null.
+
+    The instant is counted from the epoch and never written on the session's clock, where an hour may come twice.
+    """
     text = F.nullif(F.trim(value.cast("string")), F.lit(""))
     zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & F.contains(text, F.lit(":"))
     instant = F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))))
     bare_date = F.try_to_timestamp(F.concat(text, F.lit(" 00:00:00Z")))
     moment = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), bare_date).otherwise(instant)
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz"))
+    seconds = (F.unix_micros(moment).cast("decimal(24,6)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def calendar_date(value: Column) -> Column:

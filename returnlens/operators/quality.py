@@ -46,27 +46,19 @@ def lookahead_breaks(run_rows: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
-def input_availability(windows: DataFrame, bars: DataFrame) -> DataFrame:
-    """Newest availability among the bars each window uses, to be compared with the cutoff.
-
-    Per security the running maximum over bars up to the window's end bounds every bar the window reads.
-    """
-    w = Window.partitionBy("security_id").orderBy("event_date")
-    span = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    latest = bars.select(
-        "security_id",
-        F.col("event_date").alias("window_end"),
-        F.max("timestamp_available").over(span).alias("inputs_available"),
-    )
-    return windows.join(latest, ["security_id", "window_end"])
-
-
 def driver_order_breaks(parts: DataFrame) -> DataFrame:
     """Rows with a driver outside the known order, which could not be placed before or after events."""
     known = F.create_map(*[F.lit(p) for pair in DRIVER_RANK.items() for p in pair])
     return parts.where(F.try_element_at(known, F.col("driver")).isNull())
 
 
+def systematic_order_breaks(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a systematic driver that stand after an event row of their run; ``placed`` has a ``position``."""
+    first_event = F.min(F.when(F.col("driver") == "event", F.col("position"))).over(Window.partitionBy(*keys))
+    systematic = driver_rank(F.col("driver")) < DRIVER_RANK["event"]
+    return placed.withColumn("first_event", first_event).where(systematic & (F.col("position") > F.col("first_event")))
+
+
 def sorted_positions(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Position of each row inside its run: by driver order, then name."""
     rank = driver_rank(F.col("driver"))

@@ -137,8 +137,8 @@ def window_descriptors(windows: DataFrame, bars: DataFrame, lookback_days: int)
     return _descriptors(ends, placed, windows.columns)
 
 
-def exposures_from_descriptors(descriptors: DataFrame, as_of: str | Column) -> DataFrame:
-    """Exposure rows as they stand at ``as_of``, one moment for all or one a row."""
+def exposures_from_descriptors(descriptors: DataFrame, as_of: str | Column, keep: list[str] | None = None) -> DataFrame:
+    """Exposure rows as they stand at ``as_of``, one moment for all or one a row; columns to ``keep`` come along."""
     at = F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of
     return descriptors.select(
         "security_id",
@@ -152,6 +152,7 @@ def exposures_from_descriptors(descriptors: DataFrame, as_of: str | Column) -> D
         at.alias("event_time"),
         at.alias("ingestion_time"),
         at.alias("timestamp_available"),
+        *(keep or []),
     )
 
 
