@@ -176,6 +176,7 @@ def detect(docs: DataFrame, prepare: Prepare | None = None, id_col: str = "doc_i
                 if mass > MASS:
                     yield rows(ids, texts)
                     ids, texts, mass = [], [], 0
-            yield rows(ids, texts)
+            if ids:
+                yield rows(ids, texts)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
