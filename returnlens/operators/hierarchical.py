@@ -1,8 +1,15 @@
 """Layered market-first model: each factor enters only with what earlier layers do not explain.
 
-Layers depend on one another within a window, so this is the one model that runs in Arrow groups. A group holds one
-security's windows starting in one year, with the returns and assigned series those windows reach, each with at most one
-row per calendar day.
+Layers depend on one another within a window, so this is the one model that runs in Arrow groups. Securities with the same
+ordered series form a chain, and whatever does not involve their own returns is worked out once a chain: a group holds the
+windows of up to ``SHARED_BY`` securities of one chain that start in one year, with the series those windows reach, each
+with at most one row per calendar day.
+
+Inside a group nothing runs window by window. Products of the series are summed up along the days, so the Gram matrix of a
+window's lookback is the difference of two running sums: days that enter are added and days that leave are taken off. Each
+layer's residual is kept as coefficients over the raw series; the next layer's fit is the same Gram matrix seen through
+those coefficients, solved for all windows at once. Windows whose fit is too close to singular for that are fitted row by
+row (``layered_window``).
 """
 
 from __future__ import annotations
@@ -16,19 +23,24 @@ from returnlens.functions.scoring import clamp01, confidence_after, factor_penal
 from returnlens.operators.exposures import macro_gates
 from returnlens.operators.models import contribution_rows, peer_assignments, sector_assignments
 from returnlens.operators.series import MACRO_ORDER
+from returnlens.session import settle
 from returnlens.vocab import COLLINEAR_CONDITION, FIVE_FACTORS
 
 LAYERED_VERSION = "hierarchical-market-first-v1"
 MIN_PAIRS = 60
 FLAT = 1e-12
-#: Securities that share one copy of a series when the groups are laid out.
+#: Securities of one chain in a group, and groups that share one copy of a series when they are laid out.
 SHARED_BY = 256
 
+#: Beyond this condition number a window is fitted row by row.
+NEAR_SINGULAR = 1e4
+NEVER = np.iinfo(np.int64).max
+
 SCHEMA = (
     "security_id {id}, cadence string, window_start date, window_end date, observed_return_bps double, "
-    "slot int, beta double, factor_move double, gate double, observations long, condition_number double, "
-    "residualized_against int"
+    "slot int, beta double, factor_move double, observations long, condition_number double, residualized_against int"
 )
+FITTED = ["slot", "beta", "factor_move", "observations", "condition_number", "residualized_against"]
 
 
 def fit_layer(y: np.ndarray, priors: np.ndarray, estimating: np.ndarray) -> tuple[np.ndarray, float, int]:
@@ -68,7 +80,7 @@ def layered_window(
     earlier: np.ndarray,
     stock: np.ndarray,
     stock_earlier: np.ndarray,
-    layers: list[tuple[int, float]],
+    layers: list[int],
     prior_columns: list[int],
     start: int,
     end: int,
@@ -87,7 +99,7 @@ def layered_window(
     own = np.where((stock_earlier[a:b] >= low) & estimating, stock[a:b], np.nan)
     columns = [block[:, c] for c in prior_columns if not np.isnan(block[:, c]).all()]
     rows = []
-    for column, gate in layers:
+    for column in layers:
         y = block[:, column]
         if column >= optional_from and np.isnan(y).all():
             continue
@@ -103,10 +115,152 @@ def layered_window(
         flat = spread <= FLAT * float((px * px).sum())
         beta = 0.0 if flat else float(((px - px.mean()) * (py - py.mean())).sum()) / spread
         move = float(np.nansum(residual[moving]))
-        rows.append((column, beta, move, gate, n, condition, against))
+        rows.append((column, beta, move, n, condition, against))
     return rows
 
 
+class Panel:
+    """The series of one chain on a common axis of days: values, and the day each value is measured against."""
+
+    def __init__(self, days: np.ndarray, values: np.ndarray, earlier: np.ndarray, layers: list[int], priors: list[int], optional_from: int):
+        self.days, self.values, self.earlier = days, values, earlier
+        self.layers, self.priors, self.optional_from = layers, priors, optional_from
+        filled = np.where(np.isnan(values), 0.0, values)
+        self.design = np.column_stack([np.ones(len(days)), filled])  # column 0 is the intercept
+        self.present = ~np.isnan(values)
+        # A value counts where the day it is measured against lies in the window; one that stands alone needs only its own.
+        self.from_day = np.where(earlier == NEVER, days[:, None], earlier)
+
+    def visible(self, low: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each slot has any value in each window."""
+        out = np.zeros((len(low), self.values.shape[1]), bool)
+        for slot in range(self.values.shape[1]):
+            at = np.flatnonzero(self.present[:, slot])
+            out[:, slot] = np.searchsorted(self.days[at], end, "right") > np.searchsorted(self.from_day[at, slot], low, "left")
+        return out
+
+    def residuals(self, low: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """Yields (layer, residual on every day or NaN, condition, number of priors, windows to be fitted row by row).
+
+        Rows are the windows given, which must have values in the same slots (one row of ``visible``).
+        """
+        has = self.visible(low[:1], end[:1])[0]
+        count, width = len(low), self.design.shape[1]
+        columns = [s for s in self.priors if has[s]]
+        basis = [np.tile(np.eye(width)[s + 1], (count, 1)) for s in columns]
+        present = self.present[:, columns].all(axis=1) if columns else np.ones(len(self.days), bool)
+        since = self.from_day[:, columns].min(axis=1) if columns else np.full(len(self.days), NEVER)
+        for slot in self.layers:
+            if slot >= self.optional_from and not has[slot]:
+                continue
+            raw = np.tile(np.eye(width)[slot + 1], (count, 1))
+            alone = self.present[:, slot]
+            shared = present & alone
+            reach = np.minimum(since, self.from_day[:, slot])
+            fitted, condition, bad = self._fit(slot, shared, reach, basis, low, start)
+            coefficients = np.where(np.isnan(fitted), raw, fitted)
+            fell_back = np.isnan(fitted[:, 0])
+            seen = np.where(fell_back[:, None], alone & (self.from_day[:, slot] >= low[:, None]), shared & (reach >= low[:, None]))
+            residual = np.where(seen & (self.days <= end[:, None]), coefficients @ self.design.T, np.nan)
+            yield slot, residual, condition, np.where(fell_back, 0, len(basis)), bad
+            basis.append(coefficients)
+            present, since = shared, reach
+
+    def _fit(self, slot, shared, reach, basis, low, start):
+        """Coefficients over the intercept and all slots of each window's residual, NaN where there are too few rows."""
+        count, width = len(low), self.design.shape[1]
+        out, condition, bad = np.full((count, width), np.nan), np.zeros(count), np.zeros(count, bool)
+        rows = np.flatnonzero(shared)
+        if not basis or not len(rows):
+            return out, condition, bad
+        z = self.design[rows] * np.concatenate([[True], self._used(basis, slot)])
+        running = np.concatenate([np.zeros((1, width, width)), np.cumsum(z[:, :, None] * z[:, None, :], axis=0)])
+        enter, leave = np.searchsorted(self.days[rows], start, "left"), np.searchsorted(reach[rows], low, "left")
+        able = np.flatnonzero(enter - leave > len(basis) + 1)
+        if not len(able):
+            return out, condition, bad
+        gram = running[enter[able]] - running[leave[able]]
+        n = gram[:, 0, 0]
+        b = np.stack([c[able] for c in basis], axis=1)  # (windows, priors, raw columns)
+        inner = np.einsum("wpq,wqr->wpr", b, gram)
+        products = np.einsum("wpr,wsr->wps", inner, b)
+        mean, target = inner[:, :, 0] / n[:, None], inner[:, :, slot + 1]
+        own_mean = gram[:, 0, slot + 1] / n
+        eigen = np.linalg.eigvalsh(products)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            condition[able] = np.sqrt(eigen[:, -1] / eigen[:, 0])
+        centred = products - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
+        values, vectors = np.linalg.eigh(centred)
+        weak = ~(condition[able] < NEAR_SINGULAR) | ~(values[:, 0] * NEAR_SINGULAR**2 > values[:, -1])
+        values = np.where(weak[:, None], 1.0, values)
+        right = target - n[:, None] * mean * own_mean[:, None]
+        slopes = np.einsum("wpq,wq->wp", vectors, np.einsum("wqp,wq->wp", vectors, right) / values)
+        found = -np.einsum("wp,wpq->wq", slopes, b)
+        found[:, slot + 1] += 1.0
+        found[:, 0] -= own_mean - np.einsum("wp,wp->w", slopes, mean)
+        out[able] = found
+        bad[able] = weak
+        return out, condition, bad
+
+    def _used(self, basis, slot):
+        """Slots that the priors' coefficients or the layer touch; the others may hold no value on these rows."""
+        used = np.any([np.any(c[:, 1:] != 0, axis=0) for c in basis], axis=0)
+        used[slot] = True
+        return used
+
+
+def _pairs(residual: np.ndarray, own: np.ndarray, estimating: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and slope of the own returns on the residual in each window's lookback."""
+    paired = estimating & ~np.isnan(residual) & ~np.isnan(own)
+    n = paired.sum(axis=1)
+    x, y = np.where(paired, residual, 0.0), np.where(paired, own, 0.0)
+    some = np.maximum(n, 1)
+    dx = np.where(paired, residual - (x.sum(axis=1) / some)[:, None], 0.0)
+    dy = np.where(paired, own - (y.sum(axis=1) / some)[:, None], 0.0)
+    spread = (dx * dx).sum(axis=1)
+    flat = spread <= FLAT * (x * x).sum(axis=1)
+    return n, np.where(flat, 0.0, (dx * dy).sum(axis=1) / np.where(flat, 1.0, spread))
+
+
+def layered_windows(panel: Panel, owners: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], lookback: int) -> list[dict[tuple[int, int], list[tuple]]]:
+    """For each owner (own values, days they are measured against, starts, ends) the layer rows of each of its windows."""
+    asked = np.unique(np.concatenate([np.column_stack([starts, ends]) for _, _, starts, ends in owners]), axis=0)
+    start, end = asked[:, 0], asked[:, 1]
+    low = start - lookback
+    seen = panel.visible(low, end)
+    out: list[dict[tuple[int, int], list[tuple]]] = [{} for _ in owners]
+    wanted = [{(int(a), int(b)) for a, b in zip(starts, ends)} for _, _, starts, ends in owners]
+    for pattern in np.unique(seen, axis=0):
+        at = np.flatnonzero((seen == pattern).all(axis=1))
+        for part in np.array_split(at, max(1, -(-len(at) // 512))):
+            lows, starts, ends = low[part], start[part], end[part]
+            names = [(int(a), int(b)) for a, b in zip(starts, ends)]
+            estimating = (panel.days >= lows[:, None]) & (panel.days < starts[:, None])
+            moving = (panel.days > starts[:, None]) & (panel.days <= ends[:, None])
+            hard, found = np.zeros(len(part), bool), []
+            for slot, residual, condition, against, bad in panel.residuals(lows, starts, ends):
+                hard |= bad
+                move = np.where(moving & ~np.isnan(residual), residual, 0.0).sum(axis=1)
+                found.append((slot, residual, move, condition, against))
+            for owner, (own, own_from, _, _) in enumerate(owners):
+                mine = np.array([k for k, name in enumerate(names) if name in wanted[owner]], np.int64)
+                if not len(mine):
+                    continue
+                shown = np.where((own_from >= lows[mine, None]), own, np.nan)
+                for k in mine:
+                    out[owner][names[k]] = []
+                for slot, residual, move, condition, against in found:
+                    n, beta = _pairs(residual[mine], shown, estimating[mine])
+                    for k, count, slope in zip(mine.tolist(), n.tolist(), beta.tolist()):
+                        if count >= MIN_PAIRS and not hard[k]:
+                            out[owner][names[k]].append((slot, slope, float(move[k]), count, float(condition[k]), int(against[k])))
+                for k in mine[hard[mine]].tolist():
+                    out[owner][names[k]] = layered_window(
+                        panel.days, panel.values, panel.earlier, own, own_from, panel.layers, panel.priors, *names[k], lookback, panel.optional_from
+                    )
+    return out
+
+
 def layer_assignments(classes: DataFrame, compositions: DataFrame, securities: DataFrame, exposures: DataFrame, cutoff: str) -> DataFrame:
     """Ordered layers of each security: sector, industry, peer basket, then macro factors."""
     sector = sector_assignments(classes, cutoff).select(
@@ -151,109 +305,111 @@ def layered_rows(
     market = F.array(
         *[F.struct(F.lit(k).alias("series_key"), F.lit(i).alias("slot")) for i, k in enumerate(FIVE_FACTORS)]
     )
-    base = securities.select("security_id", F.inline(market), F.lit(1.0).alias("gate"))
+    base = securities.select("security_id", F.inline(market))
     # A peer basket or macro factor without any value is no layer; an assigned sector stays one even when empty.
     observed_keys = series.select("series_key").distinct()
     standing = layers.where(F.col("layer") < 2).unionByName(
         layers.where(F.col("layer") >= 2).join(observed_keys, "series_key", "left_semi").select(*layers.columns)
     )
     slots = base.unionByName(
-        standing.select("security_id", "series_key", (F.col("layer") + first_layer).alias("slot"), "gate")
+        standing.select("security_id", "series_key", (F.col("layer") + first_layer).alias("slot"))
     )
+    optional_from = first_layer + 2  # peer basket and macro factors
     day = F.unix_date
     lookback = int(lookback_days)
-    stretches = windows.groupBy(F.col("security_id").alias("owner_id"), F.year("window_start").alias("owner_year")).agg(
-        (day(F.min("window_start")) - lookback).alias("_low"), day(F.max("window_end")).alias("_high")
+    # Securities with the same ordered series share a chain; a chain of many is cut into blocks. A security has some dozen
+    # slots at most, so the list is short.
+    chains = slots.groupBy("security_id").agg(F.sort_array(F.collect_set(F.struct("slot", "series_key"))).alias("steps"))
+    chains = settle(chains.select("security_id", F.xxhash64("steps").alias("chain"), F.to_json("steps").alias("spelled"), "steps"), "chains")
+    sizes = chains.groupBy("chain", "spelled").agg(F.count(F.lit(1)).alias("size"))
+    blocks = F.ceil(F.col("size") / SHARED_BY)
+    placed = chains.join(sizes, ["chain", "spelled"]).select("security_id", "chain", F.pmod(F.xxhash64("security_id", F.lit(1)), blocks).alias("block"))
+    group = ["chain", "block", "start_year"]
+    asked = windows.join(placed, "security_id").select(
+        "chain", "block", F.year("window_start").alias("start_year"), "security_id", "cadence", "window_start", "window_end", "observed_return_bps"
     )
+    stretches = asked.groupBy(*group).agg((day(F.min("window_start")) - lookback).alias("_low"), day(F.max("window_end")).alias("_high"))
+    stretches = settle(stretches, "stretches")
     year_of = lambda days: F.year(F.date_from_unix_date(days))
-    # Every security wants the market series, so a series is dealt out by calendar year and, in copies, by a salt of the
-    # security: no task lays out more than a year of one series for SHARED_BY securities.
-    salts = max(1, -(-securities.count() // SHARED_BY))
-    wanted = (
-        slots.select(F.col("security_id").alias("owner_id"), "series_key", "slot")
-        .join(stretches, "owner_id")
-        .withColumn("series_year", F.explode(F.sequence(year_of(F.col("_low")), year_of(F.col("_high")))))
-        .withColumn("salt", F.pmod(F.xxhash64("owner_id"), F.lit(salts)).cast("int"))
+    # Every chain wants the market series, so a series is dealt out by calendar year and, in copies, by a salt of the
+    # group: no task lays out more than a year of one series for SHARED_BY groups.
+    salts = max(1, -(-stretches.count() // SHARED_BY))
+    steps = chains.select("chain", F.explode("steps").alias("step")).select("chain", "step.slot", "step.series_key").distinct()
+    held = stretches.join(steps, "chain")
+    wanted = held.withColumn("series_year", F.explode(F.sequence(year_of(F.col("_low")), year_of(F.col("_high"))))).withColumn(
+        "salt", F.pmod(F.xxhash64(*group), F.lit(salts)).cast("int")
     )
     dealt = series.select(
         "series_key", F.year("event_date").alias("series_year"), day("event_date").alias("day"), "value",
         day("prev_date").alias("earlier"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
     )
-    columns = ["owner_id", "owner_year", "slot", "day", "value", "earlier"]
-    inside = F.col("day").between(F.col("_low"), F.col("_high"))
-    observed = wanted.join(dealt, ["series_key", "series_year", "salt"]).where(inside).select(*columns)
+    kind = windows.schema["security_id"].dataType.simpleString()
+    nobody, inside = F.lit(None).cast(kind).alias("owner_id"), F.col("day").between(F.col("_low"), F.col("_high"))
+    columns = [*group, "owner_id", "slot", "day", "value", "earlier"]
+    observed = wanted.join(dealt, ["series_key", "series_year", "salt"]).where(inside).select(*group, nobody, "slot", "day", "value", "earlier")
     own = (
         returns.where(F.col("return_bps").isNotNull())
+        .join(placed, "security_id")
         .select(
-            F.col("security_id").alias("owner_id"), F.lit(-1).alias("slot"), day("event_date").alias("day"),
+            "chain", "block", F.col("security_id").alias("owner_id"), F.lit(-1).alias("slot"), day("event_date").alias("day"),
             F.col("return_bps").alias("value"), day("prev_date").alias("earlier"),
         )
-        .join(stretches, "owner_id")
+        .join(stretches, ["chain", "block"])
         .where(inside)
         .select(*columns)
     )
-    present = slots.withColumnRenamed("security_id", "owner_id").join(stretches, "owner_id").select(
-        "owner_id", "owner_year", "slot", F.lit(None).cast("int").alias("day"), F.col("gate").alias("value"),
-        F.lit(None).cast("int").alias("earlier"),
-    )
+    none = F.lit(None).cast("int")
+    # One row a slot without a day names the chain's slots, also those without a value here.
+    present = held.select(*group, nobody, "slot", none.alias("day"), F.lit(None).cast("double").alias("value"), none.alias("earlier"))
     facts = observed.unionByName(own).unionByName(present)
-    asked = windows.select(
-        "security_id", "cadence", "window_start", "window_end", "observed_return_bps", F.year("window_start").alias("start_year")
-    )
-    kind = windows.schema["security_id"].dataType.simpleString()
-    macro_slot = first_layer + 3
-
-    def per_security(ask: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
-        names = [
-            "security_id", "cadence", "window_start", "window_end", "observed_return_bps", "slot", "beta",
-            "factor_move", "gate", "observations", "condition_number", "residualized_against",
-        ]
-        if ask.empty or facts.empty:
-            return pd.DataFrame(columns=names)
-        gates = facts[facts["day"].isna()].set_index("slot")["value"].to_dict()
+
+    def per_chain(ask: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+        names = ["security_id", "cadence", "window_start", "window_end", "observed_return_bps", *FITTED]
         seen = facts[facts["day"].notna()]
-        if seen.empty:
+        if ask.empty or seen.empty:
             return pd.DataFrame(columns=names)
+        slots_here = sorted(facts.loc[facts["day"].isna(), "slot"].unique().tolist())
         days = np.unique(seen["day"].to_numpy(dtype=np.int64))
-        width = max(max(gates), first_layer) + 1
-        values = np.full((len(days), width), np.nan)
-        earlier = np.full((len(days), width), np.iinfo(np.int64).max)
         row = np.searchsorted(days, seen["day"].to_numpy(dtype=np.int64))
-        slot = seen["slot"].to_numpy()
-        value = seen["value"].to_numpy(dtype=float)
+        slot, value = seen["slot"].to_numpy(), seen["value"].to_numpy(dtype=float)
         before = seen["earlier"].fillna(np.iinfo(np.int32).max).to_numpy(dtype=np.int64)
-        mine = slot < 0
-        stock = np.full(len(days), np.nan)
-        stock_earlier = np.full(len(days), np.iinfo(np.int64).max)
-        stock[row[mine]], stock_earlier[row[mine]] = value[mine], before[mine]
-        values[row[~mine], slot[~mine]] = value[~mine]
-        earlier[row[~mine], slot[~mine]] = before[~mine]
-        layers_here = [(s, g) for s, g in sorted(gates.items()) if s >= first_layer]
+        before = np.where(before == np.iinfo(np.int32).max, NEVER, before)
+        width = max(max(slots_here), first_layer) + 1
+        values, earlier = np.full((len(days), width), np.nan), np.full((len(days), width), NEVER)
+        shared = slot >= 0
+        values[row[shared], slot[shared]], earlier[row[shared], slot[shared]] = value[shared], before[shared]
+        panel = Panel(days, values, earlier, [x for x in slots_here if x >= first_layer], list(range(first_layer)), optional_from)
         epoch = np.datetime64("1970-01-01", "D")
         starts = (pd.to_datetime(ask["window_start"]).to_numpy().astype("datetime64[D]") - epoch).astype(int)
         ends = (pd.to_datetime(ask["window_end"]).to_numpy().astype("datetime64[D]") - epoch).astype(int)
+        mine = seen["owner_id"].to_numpy()
+        securities = ask["security_id"].unique()
+        owners, rows_of = [], []
+        for security in securities:
+            own, own_from = np.full(len(days), np.nan), np.full(len(days), NEVER)
+            k = ~shared & (mine == security)
+            own[row[k]], own_from[row[k]] = value[k], before[k]
+            at = np.flatnonzero((ask["security_id"] == security).to_numpy())
+            owners.append((own, own_from, starts[at], ends[at]))
+            rows_of.append(at)
         picked, out = [], []
-        for i, (start, end) in enumerate(zip(starts, ends)):
-            found = layered_window(
-                days, values, earlier, stock, stock_earlier, layers_here, list(range(first_layer)), start, end, lookback,
-                macro_slot,
-            )
-            picked += [i] * len(found)
-            out += found
-        result = ask.iloc[picked].reset_index(drop=True)
-        fitted = pd.DataFrame(out, columns=names[5:])
-        return pd.concat([result, fitted], axis=1)[names]
+        for found, at in zip(layered_windows(panel, owners, lookback), rows_of):
+            for i in at.tolist():
+                fits = found[(int(starts[i]), int(ends[i]))]
+                picked += [i] * len(fits)
+                out += fits
+        return pd.concat([ask.iloc[picked].reset_index(drop=True), pd.DataFrame(out, columns=FITTED)], axis=1)[names]
 
     # The groups are small in bytes and heavy in arithmetic, so their number of tasks must not shrink with their size.
     tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fits = (
-        asked.repartition(tasks, "security_id", "start_year")
-        .groupBy("security_id", "start_year")
-        .cogroup(facts.repartition(tasks, "owner_id", "owner_year").groupBy("owner_id", "owner_year"))
-        .applyInPandas(per_security, SCHEMA.format(id=kind))
+        asked.repartition(tasks, *group)
+        .groupBy(*group)
+        .cogroup(facts.repartition(tasks, *group).groupBy(*group))
+        .applyInPandas(per_chain, SCHEMA.format(id=kind))
     )
     named = fits.join(
-        layers.select("security_id", (F.col("layer") + first_layer).alias("slot"), "series_key", "driver", "name"),
+        layers.select("security_id", (F.col("layer") + first_layer).alias("slot"), "series_key", "driver", "name", "gate"),
         ["security_id", "slot"],
     )
     bps = F.col("beta") * F.col("factor_move") * F.col("gate")

@@ -11,7 +11,7 @@ from returnlens.plans import attribution as plan
 
 SF = "/root/testdata/sf0.01"
 FACTORS = ["Mkt-RF", "SMB", "HML", "RMW", "CMA"]
-CHOSEN = [3, 11, 20]
+CHOSEN = [1, 3, 6, 11, 14, 20, 22]
 
 
 def plain_window(own, series, layers, start, end, lookback):
@@ -84,3 +84,58 @@ def test_every_row_of_some_securities(inputs):
     assert len(want) > 100 and set(got) == set(want)
     for key, values in want.items():
         assert np.allclose(got[key], values, rtol=1e-6, atol=1e-6), (key, got[key], values)
+
+
+def made_panel(seed, gaps=0.02, doubled=False, empty=(), late=()):
+    """A panel of 5 market factors and layers 5 to 10 on most days, and one security's own returns."""
+    rng = np.random.default_rng(seed)
+    days = np.cumsum(rng.integers(1, 4, 420)) + 8000
+    values = rng.normal(0, 80, (len(days), 11))
+    values[:, 5:] += values[:, :1] * rng.normal(0, 1, 6) + values[:, 5:6] * 0.4
+    if doubled:
+        values[:, 8] = values[:, 5] * 2 - values[:, 1]  # nothing is left of it after the layers before
+        values[:, 9] = 7.0
+    for c in range(11):
+        values[rng.random(len(days)) < gaps * (c % 3), c] = np.nan
+    values[:, list(empty)] = np.nan
+    for c in late:
+        values[:260, c] = np.nan
+    earlier = np.full(values.shape, hierarchical.NEVER)
+    for c in range(5, 11):
+        at = np.flatnonzero(~np.isnan(values[:, c]))
+        earlier[at[1:], c] = days[at[:-1]]
+        values[at[:1], c] = np.nan
+    own = np.nan_to_num(values[:, :5]) @ rng.normal(0, 1, 5) * (rng.random(len(days)) < 2) + rng.normal(0, 30, len(days))
+    own = np.where(rng.random(len(days)) < gaps, np.nan, own)
+    own_from = np.full(len(days), hierarchical.NEVER)
+    at = np.flatnonzero(~np.isnan(own))
+    own_from[at[1:]] = days[at[:-1]]
+    own[at[0]] = np.nan
+    picks = rng.choice(len(days) - 12, 80, replace=False)
+    starts = days[picks]
+    ends = days[picks + rng.integers(1, 12, 80)]
+    return days, values, earlier, own, own_from, starts, ends
+
+
+@pytest.mark.parametrize(
+    "options",
+    [{}, {"gaps": 0.0}, {"gaps": 0.06}, {"doubled": True}, {"empty": (5,)}, {"empty": (7, 9)}, {"empty": (0, 3)}, {"empty": (0, 1, 2, 3, 4)}, {"late": (2, 8)}, {"late": (6,), "gaps": 0.04}],
+)
+def test_windows_at_once_equal_windows_one_by_one(options):
+    for seed in range(3):
+        days, values, earlier, own, own_from, starts, ends = made_panel(seed, **options)
+        layers, priors, lookback = list(range(5, 11)), list(range(5)), 400
+        panel = hierarchical.Panel(days, values, earlier, layers, priors, 7)
+        other = (np.where(np.arange(len(days)) % 5 == 0, np.nan, own * 2), own_from, starts[:30], ends[:30])
+        first, second = hierarchical.layered_windows(panel, [(own, own_from, starts, ends), other], lookback)
+        assert set(second) == set(zip(starts[:30].tolist(), ends[:30].tolist()))
+        rows = 0
+        for (y, y_from, a, b), found in (((own, own_from, starts, ends), first), (other, second)):
+            for start, end in zip(a.tolist(), b.tolist()):
+                want = hierarchical.layered_window(days, values, earlier, y, y_from, layers, priors, start, end, lookback, 7)
+                got = found[(start, end)]
+                assert [(g[0], g[3], g[5]) for g in got] == [(w[0], w[3], w[5]) for w in want]
+                finite = [(g, w) for g, w in zip(got, want) if w[4] < 1e6]
+                assert np.allclose([g[1:5] for g, _ in finite], [w[1:5] for _, w in finite], rtol=1e-6, atol=1e-6)
+                rows += len(want)
+        assert rows > 30
