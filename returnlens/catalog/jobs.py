@@ -185,14 +185,31 @@ def promoted_filing_features(p: Panels):
 @query("monthly_price_store", """
 SELECT security_id, event_date, source, round(CASE WHEN event_date >= DATE '1998-01-01' THEN close * 2 ELSE close END, 6) AS close FROM price_raw""")
 def monthly_price_store(p: Panels):
-    """A table written by month, months of it written again, and read back."""
-    from returnlens.operators import upsert
+    """A table written by month, months of it merged over and published again, a write left unpublished, and read back."""
+    return price_store(p).read().select("security_id", "event_date", "source", F.round("close", 6).alias("close"))
+
+
+@query("price_snapshots", """
+SELECT v.version, security_id, event_date, source, round(CASE WHEN v.version = 2 AND event_date >= DATE '1998-01-01' THEN close * 2 ELSE close END, 6) AS close
+FROM price_raw CROSS JOIN (VALUES (1), (2)) v(version)""")
+def price_snapshots(p: Panels):
+    """Both published versions of the store, read after the second."""
+    store = price_store(p)
+    shown = lambda v: store.read(v).select(F.lit(v).alias("version"), "security_id", "event_date", "source", F.round("close", 6).alias("close"))
+    return shown(1).unionByName(shown(2))
+
+
+def price_store(p: Panels):
+    from returnlens.operators.snapshots import SnapshotStore
     from returnlens.session import scratch_path
 
-    path = scratch_path(p.spark, "prices")
-    upsert.write_by_month(p.price_raw, path)
-    upsert.write_by_month(p.price_raw.where("event_date >= DATE '1998-01-01'").withColumn("close", F.col("close") * 2), path)
-    return p.spark.read.parquet(path).select("security_id", "event_date", "source", F.round("close", 6).alias("close"))
+    store = SnapshotStore(p.spark, scratch_path(p.spark, "prices"))
+    key, newest = ["security_id", "event_date", "source"], [F.col("timestamp_available").desc()]
+    store.merge(p.price_raw, key, newest)
+    doubled = p.price_raw.where("event_date >= DATE '1998-01-01'").withColumn("close", F.col("close") * 2)
+    store.merge(doubled, key, newest)
+    store.stage(doubled.withColumn("close", F.lit(0.0)))
+    return store
 
 
 @query("style_exposures", """

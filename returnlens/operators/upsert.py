@@ -50,15 +50,3 @@ def store_results(
     runs = upsert(stored_runs, new_runs, ["attribution_run_id"], [F.col("created_at").desc()])
     parts = replace_children(stored_parts, new_parts, new_runs, "attribution_run_id")
     return runs, parts
-
-
-def write_by_month(df: DataFrame, path: str, day: str = "event_date") -> None:
-    """Write a fact table by month, replacing only the months present in ``df``."""
-    (
-        df.withColumn("month", F.date_format(day, "yyyy-MM"))
-        .repartition("month", F.col("security_id"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month")
-        .parquet(path)
-    )
