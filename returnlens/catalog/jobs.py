@@ -189,6 +189,21 @@ def monthly_price_store(p: Panels):
     return price_store(p).read().select("security_id", "event_date", "source", F.round("close", 6).alias("close"))
 
 
+@query("deep_run_page", """
+SELECT position, security_id, cadence, window_start, window_end, observed_return_bps FROM (
+  SELECT row_number() OVER (ORDER BY window_end DESC, security_id, cadence, window_start) - 1 AS position, security_id, cadence, window_start, window_end,
+         round(observed_return_bps, 4) AS observed_return_bps, count(*) OVER () AS total FROM win) r
+WHERE position >= total * 3 // 5 AND position < total * 3 // 5 + 50""")
+def deep_run_page(p: Panels):
+    """Fifty runs from three fifths down the list of all, newest first."""
+    from returnlens.operators.paging import Pages
+
+    runs, _ = stored(p, expanded=False)
+    order = [F.col("window_end").desc(), F.col("security_id").asc(), F.col("cadence").asc(), F.col("window_start").asc()]
+    pages = Pages(runs.select(*windows.WINDOW, F.round("observed_return_bps", 4).alias("observed_return_bps")), order)
+    return pages.page(pages.total * 3 // 5, 50)
+
+
 @query("price_snapshots", """
 SELECT v.version, security_id, event_date, source, round(CASE WHEN v.version = 2 AND event_date >= DATE '1998-01-01' THEN close * 2 ELSE close END, 6) AS close
 FROM price_raw CROSS JOIN (VALUES (1), (2)) v(version)""")
