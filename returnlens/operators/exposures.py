@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from returnlens.functions.scoring import exposure_bucket
 from returnlens.operators.pit import top_rows, visible
 
+# Fixed value: version string stored with a decision.
 POLICY_VERSION = "exposure-update-policy-v0"
 
 # Macro factor to the exposure that gates it and the gate when the company has none.
@@ -138,6 +139,7 @@ def heuristic_exposures(securities: DataFrame, mapping_version: str, model_versi
 def reviewed_exposure(event_type: Column) -> Column:
     """Exposure a filing of this form speaks about."""
     form = F.upper(F.coalesce(event_type, F.lit("")))
+    # Forms and the exposures they speak about.
     return (
         F.when(form.isin("10-K", "10-Q"), "periodic_financial_reporting")
         .when(form == "8-K", "corporate_event_disclosure")

@@ -30,6 +30,7 @@ CHART_DRIVERS = [
     "unexplained_residual",
 ]
 
+# Driver and name of the row that closes a run.
 RESIDUAL_DRIVER = "unexplained_residual"
 RESIDUAL_NAME = "Unexplained residual"
 
@@ -62,6 +63,7 @@ METHODOLOGIES = {
     ),
 }
 
+# Smallest move with shares, largest usable contribution, condition number that lowers confidence.
 SHARE_THRESHOLD_BPS = 25.0
 MAX_ABS_BPS = 100_000.0
 COLLINEAR_CONDITION = 30.0
