@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from returnlens.llm.common import in_sample, sample_fraction
+from returnlens.llm.common import arrow_batches, in_sample, sample_fraction
 
 UNKNOWN = "und"
+HELD = 500_000  # n-grams of a language that a task holds before it counts them
+BATCH = 500  # texts handed to Python at once
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("times", T.LongType())])
 
@@ -72,19 +74,32 @@ class Profiles:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(lang: str, found: list[np.ndarray]) -> pd.DataFrame:
+        keys, times = np.unique(np.concatenate(found), return_counts=True)
+        return pd.DataFrame({"lang": lang, "gram": keys, "times": times})
+
     for batch in batches:
-        parts = defaultdict(list)
+        parts, held = defaultdict(list), defaultdict(int)
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             found = grams(text)
-            if found is not None:
-                parts[lang].append(found)
+            if found is None:
+                continue
+            parts[lang].append(found)
+            held[lang] += len(found)
+            if held[lang] > HELD:  # by mass, so a batch of long texts holds no more than one of short ones
+                yield counted(lang, parts.pop(lang))
+                held[lang] = 0
         for lang, found in parts.items():
-            keys, times = np.unique(np.concatenate(found), return_counts=True)
-            yield pd.DataFrame({"lang": lang, "gram": keys, "times": times})
+            yield counted(lang, found)
 
 
 def train(docs: DataFrame, usable: Column, top: int = 400, max_docs_per_lang: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Profiles of the rows where ``usable`` holds; at most about ``max_docs_per_lang`` rows a language, chosen by hash of the id."""
+    """Profiles of the rows where ``usable`` holds; at most about ``max_docs_per_lang`` rows a language, chosen by hash of the id.
+
+    Rows where ``usable``, the text or the language is null teach nothing, and neither do texts without a letter. Rows with
+    one id, a null one included, are taken or left together; repeated rows count as often as they are there. An empty table
+    gives profiles that answer ``und``.
+    """
     rows = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -96,7 +111,8 @@ def train(docs: DataFrame, usable: Column, top: int = 400, max_docs_per_lang: in
     totals = sample.mapInPandas(_count, _COUNTS).groupBy("lang", "gram").agg(F.sum("times").alias("times"))
     w = Window.partitionBy("lang").orderBy(F.desc("times"), "gram")
     best = totals.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < top)
-    return Profiles([(r["lang"], r["gram"], r["rank"]) for r in best.collect()], top)
+    with arrow_batches(docs.sparkSession, BATCH):
+        return Profiles([(r["lang"], r["gram"], r["rank"]) for r in best.collect()], top)
 
 
 def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,8 +143,10 @@ def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text")
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [profiles.predict(t)[0] != UNKNOWN for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            yield batch.filter(pa.array(found, pa.bool_()))
+        for whole in batches:
+            for first in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(first, BATCH)
+                found = [profiles.predict(t)[0] != UNKNOWN for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+                yield batch.filter(pa.array(found, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
