@@ -74,3 +74,38 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_rows_without_an_id_and_repeated_ids(spark, tmp_path):
+    """Copies go and benchmark items go whatever the ids; of several rows with the smallest id one stays."""
+    item = " ".join(f"bench{i}" for i in range(30))
+    spark.createDataFrame([("q1", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = " ".join(f"word{i}" for i in range(80))
+    other = " ".join(f"other{i}" for i in range(80))
+    rows = [
+        (7, long), (None, long), (3, long + " end"), (3, long), (None, other), (None, other), (8, "held by one id"), (8, "and another text of it"),
+        (8, "so it said " + item), (None, "this row too " + item + " has it"), (None, None), (2, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, row_key int")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = [(r["doc_id"], r["text"]) for r in stages["near_duplicates"](spark, docs, str(tmp_path)).collect()]
+    group = {(3, long + " end"), (3, long)}
+    assert len(kept) == 12 - 4 and len(group & set(kept)) == 1 and (7, long) not in kept and kept.count((None, other)) == 1
+    left = stages["decontamination"](spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=key) == sorted([r for r in rows if not r[1] or item not in r[1]], key=key)
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    import os
+
+    from returnlens.session import checkpoint_dir
+
+    def folders():
+        top = f"{checkpoint_dir(spark)}/returnlens/{spark.sparkContext.applicationId}".removeprefix("file:")
+        return set(os.listdir(top)) if os.path.isdir(top) else set()
+
+    before = folders()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len(folders() - before) == 1
