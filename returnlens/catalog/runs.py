@@ -641,12 +641,14 @@ def summary_rows(p: Panels):
     return universe.summaries(members(p), runs, parts, p.classification, p.price_raw, CUTOFF)
 
 
-@query("security_summaries", """
+SUMMARIES_SQL = """
 SELECT security_id, ticker, sector, industry, latest_window_end, round(latest_observed_return_bps, 4) AS latest_observed_return_bps,
        round(latest_residual_bps, 4) AS latest_residual_bps, round(latest_price_change_usd, 6) AS latest_price_change_usd,
-       top_driver, contribution_count, evidence_count, run_status FROM summary_rows""")
-def security_summaries(p: Panels):
-    return summary_rows(p).select(
+       top_driver, contribution_count, evidence_count, run_status FROM summary_rows"""
+
+
+def shown_summaries(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "security_id",
         "ticker",
         "sector",
@@ -662,6 +664,22 @@ def security_summaries(p: Panels):
     )
 
 
+@query("security_summaries", SUMMARIES_SQL)
+def security_summaries(p: Panels):
+    return shown_summaries(summary_rows(p))
+
+
+@query("refreshed_summaries", SUMMARIES_SQL)
+def refreshed_summaries(p: Panels):
+    """Summaries of the runs up to a day, or up to none for some securities, brought up to date by the runs since."""
+    runs, parts = stored(p)
+    since = (F.col("window_end") >= F.lit("1998-06-01").cast("date")) & (F.col("security_id") % 3 != 1) | (F.col("security_id") % 7 == 2)
+    before, delta = runs.where(~since), runs.where(since)
+    of = lambda some: parts.join(some.select("attribution_run_id"), "attribution_run_id", "left_semi")
+    kept = settle(universe.summaries(members(p).where("security_id <> 5"), before, of(before), p.classification, p.price_raw, CUTOFF), "summaries")
+    return shown_summaries(universe.refreshed_summaries(kept, members(p), delta, of(delta), p.classification, p.price_raw, CUTOFF))
+
+
 @query("universe_page", """
 SELECT ticker, company_name, round(latest_observed_return_bps, 4) AS latest_observed_return_bps,
        CASE WHEN abs(latest_observed_return_bps) >= 25

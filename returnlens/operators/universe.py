@@ -153,6 +153,35 @@ def summaries(
     )
 
 
+def refreshed_summaries(
+    stored: DataFrame, members: DataFrame, delta_runs: DataFrame, delta_parts: DataFrame, classes: DataFrame, bars: DataFrame, cutoff: str
+) -> DataFrame:
+    """``stored`` summaries brought up to date by runs written since, as a full refresh over all runs would give.
+
+    A run of the delta replaces a security's summary if its window ends no earlier than the stored one: runs written later
+    win at equal ends. Only those securities read runs, contributions and closes; the others keep their row, with the
+    members' names and classes as they are now.
+    """
+    latest = latest_runs(delta_runs).select("security_id", F.col("attribution_run_id").alias("newer_run_id"), "window_end")
+    known = stored.select("security_id", "latest_window_end")
+    newer = latest.join(known, "security_id", "left").where(
+        F.col("latest_window_end").isNull() | (F.col("window_end") >= F.col("latest_window_end"))
+    )
+    moved = members.join(newer, "security_id", "left_semi")
+    runs = delta_runs.join(newer.select(F.col("newer_run_id").alias("attribution_run_id")), "attribution_run_id", "left_semi")
+    fresh = summaries(moved, runs, delta_parts, classes, bars, cutoff)
+    labels = latest_classification(classes).select("security_id", "sector", "industry")
+    named = [c for c in members.columns if c in stored.columns and c != "security_id"]
+    held = stored.drop("sector", "industry", *named).join(newer, "security_id", "left_anti")
+    kept = members.join(newer, "security_id", "left_anti").join(held, "security_id", "left").join(labels, "security_id", "left")
+    zero = F.lit(0)
+    kept = kept.withColumns({
+        "contribution_count": F.coalesce("contribution_count", zero), "evidence_count": F.coalesce("evidence_count", zero),
+        "run_status": F.coalesce("run_status", F.lit("missing")),
+    })
+    return fresh.unionByName(kept.select(*fresh.columns))
+
+
 # Sort names of the universe page and the summary column behind each.
 PAGE_SORTS = {
     "ticker": "ticker",
