@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from returnlens.llm import decontaminate, exactdedup, fim, html, langid, neardup, packing, pii, runs, sharding, topk, toxicity, urls
 from returnlens.llm.common import fold, table
 
+#: Words of a text in DuckDB: A-Z lower-cased, cut at ASCII white space.
+WORDS_SQL = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -50,11 +53,32 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+ORACLES["op5_neardup"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 0) + 2), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s), each AS (SELECT doc_id, hash(h) AS h, n FROM (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s) x),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS c FROM each a JOIN each b
+  ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+half AS (SELECT a, b FROM common WHERE 100 * c >= 85 * (n - c)), links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, l.b FROM reach JOIN links l ON l.a = reach.r)
+SELECT n.doc_id, any_value(n.n) AS n_shingles, min(r) AS component_id, n.doc_id = min(r) AS kept FROM n JOIN reach ON reach.doc_id = n.doc_id GROUP BY n.doc_id
+"""
+
+
 @query
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+ORACLES["op6_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 @query
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
@@ -78,6 +102,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+ORACLES["op10_decontamination"] = f"""
+WITH i AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+item AS (SELECT item_id, least(len(w), 5) AS width, list_distinct(list_transform(range(1, greatest(len(w) - 5, 0) + 2), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM i WHERE len(w) > 0),
+d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+held AS (SELECT doc_id, width, unnest(list_distinct(list_transform(range(1, greatest(len(w) - width, 0) + 2), lambda k: array_to_string(w[k:k + width - 1], ' ')))) AS h
+  FROM d, (SELECT DISTINCT width FROM item) x WHERE len(w) > 0),
+common AS (SELECT h.doc_id, e.item_id, any_value(e.n) AS n_item, count(*) AS n_common FROM held h JOIN (SELECT item_id, width, len(s) AS n, unnest(s) AS h FROM item) e
+  ON e.h = h.h AND e.width = h.width GROUP BY h.doc_id, e.item_id)
+SELECT doc_id, item_id, CAST(n_item AS INT) AS n_item, n_common, n_common / n_item AS containment FROM common WHERE n_common >= 0.8 * n_item - 1e-9
+"""
+
+
 @query
 def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.transform(table(spark, sf_dir, "documents"))
