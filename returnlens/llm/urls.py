@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import string
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,23 +72,28 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def _bucket(padded: Column, where: str, n: int, at: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(where), F.substring(padded, at + 1, F.lit(n))), F.lit(BUCKETS)).cast("int")
+def _buckets(where: str, n: int, part: Column) -> Column:
+    """Buckets of all n-grams of one part; the characters are laid out once, so time is linear in the url."""
+
+    def of(characters: Column) -> Column:
+        last = F.greatest(F.size(characters) - n, F.lit(0))
+        hashed = lambda i: F.xxhash64(F.lit(where), F.slice(characters, i + 1, F.lit(n)))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.pmod(hashed(i), F.lit(BUCKETS)).cast("int"))
+
+    return F.get(F.transform(F.array(F.split(F.concat(F.lit("^"), part, F.lit("$")), "")), of), 0)
 
 
 def _grams(host: Column, path: Column) -> Column:
     """Distinct buckets of the n-grams of host and path, each marked with where it stands."""
-    found = []
-    for where, part in (("h", host), ("p", path)):
-        padded = F.concat(F.lit("^"), part, F.lit("$"))
-        for n in SIZES:
-            last = F.greatest(F.length(padded) - n, F.lit(0))
-            found.append(F.transform(F.sequence(F.lit(0), last), partial(_bucket, padded, where, n)))
-    return F.array_distinct(F.concat(*found))
+    return F.array_distinct(F.concat(*[_buckets(where, n, part) for where, part in (("h", host), ("p", path)) for n in SIZES]))
 
 
 def fit(labelled: DataFrame, max_rows: int = 20_000, steps: int = 400, rate: float = 2.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and intercept from (url, blocked) rows; at most ``max_rows`` of them are used, chosen by hash."""
+    """Weights and intercept from (url, blocked) rows; at most ``max_rows`` of them are used, chosen by hash.
+
+    Rows with a null url or verdict teach nothing, repeated rows count as often as they are there, an empty table gives
+    weights of 0, and other columns are not read.
+    """
     host, path = host_and_path(F.col("url"))
     rows = labelled.where("url is not null and blocked is not null").select(_grams(host, path).alias("grams"), F.col("blocked").cast("double").alias("y"), F.xxhash64("url").alias("h")).orderBy("h").limit(max_rows).collect()
     weights, bias = np.zeros(BUCKETS), 0.0
