@@ -7,7 +7,9 @@ largest value, and once more to find every row that the bits left out of the ind
 rows are scored exactly.
 
 Blocks of the table meet blocks of queries; each meeting returns k rows a query, and the best k of all remain. The
-number of meetings is that of queries against rows; the k rows are cut down before they are shuffled.
+number of meetings is that of queries against rows. A block of the table stays in one place and the queries, far fewer, are
+copied to it, so the table is shuffled a fixed number of times; meetings are handed to Python one at a time, and the index
+of a block serves all meetings it has in a row.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from returnlens.llm.common import arrow_batches
+from returnlens.session import settle
+
 DROPPED_BITS = 2
 _FOUND = "query_id long, vec_id long, score long"
 
@@ -121,10 +126,13 @@ class Index:
 
 def _meet(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, index = None, None
         for batch in batches:
             for row in batch.itertuples():
                 dim = row.dim
-                index = Index(np.frombuffer(row.ids, np.int64), np.frombuffer(row.rows, np.int64).reshape(-1, dim))
+                if held != (dim, row.part):
+                    index = None  # before the next is built
+                    held, index = (dim, row.part), Index(np.frombuffer(row.ids, np.int64), np.frombuffer(row.rows, np.int64).reshape(-1, dim))
                 queries = np.frombuffer(row.query_rows, np.int64).reshape(-1, dim)
                 for query_id, query in zip(np.frombuffer(row.query_ids, np.int64).tolist(), queries, strict=True):
                     ids, scores = index.top(query_id, query, k)
@@ -133,31 +141,35 @@ def _meet(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block: int = 65_536, query_block: int = 1024, tasks: int = 24, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block: int = 32_768, query_block: int = 1024, tasks: int = 24, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` highest scores of every query against all rows but its own.
 
     ``is_query`` is a condition on the column ``vec_id``. Vectors that are null or hold null or non-finite components, and
     rows with a null id, take no part; vectors meet vectors of their own length only, and empty ones none. Repeated ids: a
     query is asked once, with one of its vectors, and no row with its id is a candidate; another repeated candidate may
     fill several ranks. Fewer rows than ``k`` give fewer ranks, an empty table none, and other columns are not read.
+    Scaled components and scores are 64-bit integers and must fit into them.
+
+    The table is cut into blocks of at most about ``block`` rows, and into ``tasks`` blocks at least; queries into blocks of
+    at most ``query_block``.
     """
     whole = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("vector")).where("vec_id is not null and size(vector) > 0")
     whole = whole.withColumn("dim", F.size("vector"))
     asked = whole.where(is_query)
     total, queries = whole.count(), asked.count()
-    blocks = max(1, -(-total // block))
-    per = min(query_block, max(32, -(-queries // tasks)))
-    asked_blocks = max(1, -(-queries // per))
+    blocks = max(1, min(tasks, -(-total // 256)), -(-total // block))
+    asked_blocks = max(1, -(-queries // query_block))
 
     def packed(df: DataFrame, kind: str, parts: int) -> DataFrame:
         spread = df.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(parts)).cast("int"))
         return spread.groupBy("dim", "block").applyInPandas(_pack(kind), f"dim int, {kind} int, ids binary, rows binary")
 
-    table = packed(whole, "part", blocks).withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))))
+    table = packed(whole, "part", blocks)
     one = asked.groupBy("vec_id", "dim").agg(F.min("vector").alias("vector"))
     one = one.groupBy("vec_id").agg(F.min(F.struct("dim", "vector")).alias("q")).select("vec_id", "q.dim", "q.vector")
-    questions = packed(one, "asked", asked_blocks).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("dim", "asked", "part", F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"))
-    meetings = table.join(questions.hint("shuffle_hash"), ["dim", "part", "asked"])
-    found = meetings.mapInPandas(_meet(k), _FOUND)
+    questions = packed(one, "asked", asked_blocks).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("dim", "part", F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"))
+    meetings = table.join(questions.hint("shuffle_hash"), ["dim", "part"])
+    with arrow_batches(vectors.sparkSession, 1):
+        found = settle(meetings.mapInPandas(_meet(k), _FOUND), "found")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
