@@ -238,8 +238,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_labelled: int
     The lexicon is counted over all of them. The label model and the regression use about ``max_labelled`` rows, half of
     them toxic where there are as many, and where an entry of the lexicon has few rows, these as well; rows are chosen by
     hash of id and text and weighted back. With no toxic row to learn from, every score is the share of toxic rows.
+
+    An id labelled more than once is toxic if any of its labels says so, and then all its texts are. Labels that are null or
+    neither 0 nor 1, labels without an id or without a document, and null texts teach nothing.
     """
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(toxic_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(usable).dropDuplicates(["doc_id"])
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(toxic_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(usable)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         share = 0.99 if sizes.get(1) else 0.01
