@@ -208,6 +208,16 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_of_a_million_characters(spark):
+    import time
+
+    pages = spark.createDataFrame([(1, "http://a.com/" + "xé/" * 350_000), (2, "http://free-casino-bets.org/" + "ab" * 500_000)], "page_id long, url string")
+    weights = urls._table(spark)
+    began = time.time()
+    got = {r["page_id"]: r for r in urls.filter_urls(pages, labelled=weights).collect()}
+    assert len(got[1]["path"]) == 1_050_001 and got[1]["verdict"] in ("allow", "block") and time.time() - began < 60
+
+
 # packing
 
 
@@ -414,6 +424,27 @@ def test_html_of_unseen_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<div class=x" * 90_000, "<div>t" * 50_000, '<a x="' * 160_000, '<a "" ' * 80_000 + '">"', "<script>a" + "</script" * 100_000, "<div>" * 3000 + "</x>" * 100_000, "<" * 500_000, "<!-- <a" * 100_000, "<div class=x" * 80_000 + '"'],
+)
+def test_html_of_broken_pages_takes_time_in_proportion(page):
+    import time
+
+    began = time.time()
+    found = html.blocks(page)
+    assert time.time() - began < 10 and sum(len(b.text) for b in found) <= len(page)
+
+
+def test_html_tags_end_where_they_should():
+    seen = lambda page: [(b.text, b.own) for b in html.blocks(page)]
+    assert seen("<p title='a>b'>x</p>y") == [("x", "p"), ("y", "")]
+    assert seen("<p title='a>x</p>y") == [("x", "p"), ("y", "")]
+    assert seen("a <3 b<!-- <p> -->c<!x>d<?y>e") == [("a <3 bcde", "")]
+    assert seen("<div>a<script>if (a<b) '<p>'</script>b</div><!-- open <p>c") == [("a", "div"), ("b", "div")]
+    assert seen("<div class=x<p>t") == [("t", "div")]
+
+
 def test_html_decoding_is_the_best_labelling():
     field = html.Field({"a": 1.5, "b": -2.0, "c": 0.3}, np.array([[0.5, -0.7], [-0.4, 0.6]]))
     rng = np.random.default_rng(5)
