@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"[\"'>]")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Elements whose content is not text of the page.
@@ -33,53 +35,118 @@ INLINE = {
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("marks", "own", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, marks: frozenset[str], own: str, text: str, linked: int):
+        self.marks, self.own, self.text, self.linked = marks, own, text, linked
+
+
+class Scanner:
+    """Tags of a page in one forward scan, whatever is left open in it.
+
+    A tag ends at the first ``>`` outside quotes; if there is none, at the first ``>`` at all; if there is none either, it is
+    text. Where a search has found nothing is remembered, so no stretch of the page is searched again and again: the last
+    place of each sign, the sign that comes next, and the opening quotes from which no end was reached.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {sign: page.rfind(sign) for sign in "\"'>"}
+        self.after, self.stop = 0, -1  # no sign lies between ``after`` and ``stop``
+        self.doomed: set[int] = set()
+
+    def _next_stop(self, at: int) -> int:
+        if not self.after <= at <= self.stop:
+            found = _STOP.search(self.page, at) if at <= max(self.last.values()) else None
+            self.after, self.stop = at, found.start() if found else len(self.page)
+        return self.stop
+
+    def _tag_end(self, at: int) -> int:
+        """Where a tag with its name before ``at`` has its ``>``, or -1."""
+        start, tried = at, []
+        while True:
+            stop = self._next_stop(at)
+            if stop < len(self.page) and self.page[stop] == ">":
+                return stop
+            sign = self.page[stop:stop + 1]
+            if not sign or stop in self.doomed or self.last[sign] <= stop:
+                break
+            tried.append(stop)
+            at = self.page.index(sign, stop + 1) + 1
+        self.doomed.update(tried)
+        return self.page.index(">", start) if self.last[">"] >= start else -1
+
+    def tags(self):
+        """Yields (start, end, name or '', closing, attributes); a page may jump ahead by sending a new place."""
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                found = (at, len(page) if end < 0 else end + 3, "", "", "")
+            elif page[at + 1:at + 2] in ("!", "?"):
+                found = (at, page.index(">", at) + 1, "", "", "") if self.last[">"] > at else None
+            else:
+                name = _NAME.match(page, at)
+                end = self._tag_end(name.end()) if name else -1
+                found = (at, end + 1, name[2].lower(), name[1], page[name.end():end]) if end >= 0 else None
+            if found is None:
+                at += 1
+                continue
+            jump = yield found
+            at = found[1]
+            if jump is not None:
+                at = max(at, jump)
+                yield None
+
+    def end_of(self, name: str, at: int) -> int:
+        """Where the next closing tag of this name ends; the end of the page if there is none."""
+        found = re.compile(rf"</{name}\b[^>]*>", re.I).search(self.page, at, self.last[">"] + 1) if self.last[">"] >= at else None
+        return found.end() if found else len(self.page)
 
 
 @lru_cache(4096)
-def _marks(tag: str, attributes: str) -> tuple[str, ...]:
+def _marks(tag: str, attributes: str) -> frozenset[str]:
     """What an element tells about the blocks inside it: its tag and the words it is named by."""
     words = {w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-    return (tag, *sorted(f".{w}" for w in words))
+    return frozenset((tag, *(f".{w}" for w in words)))
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order, without those that hold white space only."""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, frozenset[str]]] = []  # an open element and the marks of all elements it lies in
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
-    linked, anchors, at, size = 0, 0, 0, len(page)
+    linked, anchors, at = 0, 0, 0
 
     def close() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                found.append(Block(tuple(m for _, marks in stack for m in marks), text, linked))
+                found.append(Block(stack[-1][1] if stack else frozenset(), stack[-1][0] if stack else "", text, linked))
             pieces.clear()
         linked = 0
 
-    while at < size:
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else size
-        if end > at:
-            pieces.append(page[at:end])
+    def pop() -> str:
+        tag, _ = stack.pop()
+        opened[tag] -= 1
+        return tag
+
+    scanner = Scanner(page)
+    tags = scanner.tags()
+    for start, end, tag, closing, attributes in tags:
+        if start > at:
+            pieces.append(page[at:start])
             if anchors:
-                linked += end - at
-        if not m:
-            break
-        at = m.end()
-        tag = m[2] or m[5]
+                linked += start - at
+        at = end
         if not tag:
             continue
-        tag, closing, attributes = tag.lower(), m[1] or m[4], (m[3] if m[2] else m[6]) or ""
         if tag in _RAW and not closing:
             close()
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else size
+            at = scanner.end_of(tag, end)
+            tags.send(at)
             continue
         if tag in INLINE:
             if tag == "br":
@@ -89,18 +156,24 @@ def blocks(page: str) -> list[Block]:
             continue
         close()
         if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if opened[tag] > 0:
+                while pop() != tag:
+                    pass
             anchors = 0
             continue
         if stack and stack[-1][0] == tag and tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-            stack.pop()
+            pop()
         elif stack and stack[-1][0] == "p":
-            stack.pop()
+            pop()
         if tag == "head" or tag in VOID or attributes.rstrip().endswith("/"):
             continue
-        stack.append((tag, _marks(tag, attributes)))
+        around, own = stack[-1][1] if stack else frozenset(), _marks(tag, attributes)
+        stack.append((tag, around if own <= around else around | own))
+        opened[tag] += 1
+    if at < len(page):
+        pieces.append(page[at:])
+        if anchors:
+            linked += len(page) - at
     close()
     return found
 
@@ -109,8 +182,8 @@ def described(page: list[Block]) -> list[list[str]]:
     """Features of every block of a page."""
     out = []
     for i, b in enumerate(page):
-        f = ["bias"] + [f"in {m}" for m in set(b.path)]
-        f.append(f"own {next((m for m in reversed(b.path) if m[0] != '.'), '')}")
+        f = ["bias"] + [f"in {m}" for m in b.marks]
+        f.append(f"own {b.own}")
         size = len(b.text)
         f.append("tiny" if size < 25 else "short" if size < 80 else "long" if size < 300 else "very long")
         if b.linked * 2 > size:
