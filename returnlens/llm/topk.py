@@ -25,6 +25,8 @@ from returnlens.llm.common import arrow_batches
 from returnlens.session import settle
 
 DROPPED_BITS = 2
+# Rows of a block below which adding bitmaps costs less than the calls that add them.
+LEAST = 4096
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -55,39 +57,44 @@ class Index:
         shifted = (rows - self.low).astype(np.uint64)
         pad = -self.size % 64
         self.live = self._bitmap(np.ones(self.size, bool), pad)
-        self.slices = [[self._bitmap((shifted[:, d] >> np.uint64(t)) & np.uint64(1) == 1, pad) for t in range(self.dropped, self.bits)] for d in range(rows.shape[1])]
+        self.slices = np.array([[self._bitmap((shifted[:, d] >> np.uint64(t)) & np.uint64(1) == 1, pad) for t in range(self.dropped, self.bits)] for d in range(rows.shape[1])])
 
     @staticmethod
     def _bitmap(flags: np.ndarray, pad: int) -> np.ndarray:
         return np.packbits(np.concatenate([flags, np.zeros(pad, bool)]), bitorder="little").view(np.uint64)
 
     def _sum(self, query: np.ndarray) -> list[np.ndarray]:
-        """Slices of the sum over attributes of |q| times the indexed bits, taken from the other end where q < 0."""
+        """Slices of the sum over attributes of |q| times the indexed bits, taken from the other end where q < 0.
+
+        All bitmaps of one weight are added at once, three of them to a sum and a carry into the next weight, until one is
+        left. The number of numpy calls hardly depends on the number of attributes, nor on the rows of the block.
+        """
+        sizes, turned = np.abs(query), query < 0
+        longest = int(sizes.max()).bit_length()
         levels: list[np.ndarray] = []
-        for d, q in enumerate(query.tolist()):
-            size = abs(q)
-            for t, bitmap in enumerate(self.slices[d]):
-                if q < 0:
-                    bitmap = ~bitmap & self.live
-                for i in range(size.bit_length()):
-                    if size >> i & 1:
-                        self._add(levels, i + t, bitmap)
+        carried: list[np.ndarray] = []
+        weights = longest + self.slices.shape[1] - 1 if longest else 0
+        while carried or len(levels) < weights:
+            at = len(levels)
+            picked, carried = carried, []
+            for t in range(max(0, at - longest + 1), min(at + 1, self.slices.shape[1])):
+                dims = np.flatnonzero(sizes >> (at - t) & 1)
+                bitmaps = self.slices[dims, t]
+                bitmaps[turned[dims]] ^= self.live
+                picked.append(bitmaps)
+            stack = np.concatenate(picked)
+            while len(stack) > 2:
+                third = len(stack) // 3
+                a, b, c = stack[:third], stack[third : 2 * third], stack[2 * third : 3 * third]
+                either = a ^ b
+                carried.append(a & b | either & c)
+                stack = np.concatenate([either ^ c, stack[3 * third :]])
+            if len(stack) == 2:
+                carried.append(stack[:1] & stack[1:])
+                stack = stack[:1] ^ stack[1:]
+            levels.append(stack[0] if len(stack) else np.zeros_like(self.live))
         return levels
 
-    def _add(self, levels: list[np.ndarray], at: int, carry: np.ndarray) -> None:
-        while len(levels) <= at:
-            levels.append(np.zeros_like(self.live))
-        while True:
-            here = levels[at]
-            levels[at] = here ^ carry
-            carry = here & carry
-            if not carry.any():
-                return
-            at += 1
-            if at == len(levels):
-                levels.append(carry)
-                return
-
     def _kth(self, levels: list[np.ndarray], k: int) -> int:
         """The k-th largest value of the sums, from the most significant slice downward."""
         sure, open_, value = np.zeros_like(self.live), self.live, 0
@@ -133,10 +140,14 @@ def _meet(k: int):
                 if held != (dim, row.part):
                     index = None  # before the next is built
                     held, index = (dim, row.part), Index(np.frombuffer(row.ids, np.int64), np.frombuffer(row.rows, np.int64).reshape(-1, dim))
+                query_ids = np.frombuffer(row.query_ids, np.int64)
                 queries = np.frombuffer(row.query_rows, np.int64).reshape(-1, dim)
-                for query_id, query in zip(np.frombuffer(row.query_ids, np.int64).tolist(), queries, strict=True):
-                    ids, scores = index.top(query_id, query, k)
-                    yield pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores})
+                found = [index.top(query_id, query, k) for query_id, query in zip(query_ids.tolist(), queries, strict=True)]
+                yield pd.DataFrame({
+                    "query_id": np.repeat(query_ids, [len(ids) for ids, _ in found]),
+                    "vec_id": np.concatenate([ids for ids, _ in found]),
+                    "score": np.concatenate([scores for _, scores in found]),
+                })
 
     return run
 
@@ -150,14 +161,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
     fill several ranks. Fewer rows than ``k`` give fewer ranks, an empty table none, and other columns are not read.
     Scaled components and scores are 64-bit integers and must fit into them.
 
-    The table is cut into blocks of at most about ``block`` rows, and into ``tasks`` blocks at least; queries into blocks of
-    at most ``query_block``.
+    The table is cut into blocks of at most about ``block`` rows, and into ``tasks`` blocks if they then hold ``LEAST`` rows;
+    queries into blocks of at most ``query_block``. Blocks are dealt over a fixed number of partitions, as joining several
+    small ones to one task would leave all meetings to a few tasks.
     """
     whole = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("vector")).where("vec_id is not null and size(vector) > 0")
     whole = whole.withColumn("dim", F.size("vector"))
     asked = whole.where(is_query)
     total, queries = whole.count(), asked.count()
-    blocks = max(1, min(tasks, -(-total // 256)), -(-total // block))
+    blocks = max(1, min(tasks, -(-total // LEAST)), -(-total // block))
+    places = max(blocks, 4 * min(blocks, tasks))
     asked_blocks = max(1, -(-queries // query_block))
 
     def packed(df: DataFrame, kind: str, parts: int) -> DataFrame:
@@ -168,7 +181,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
     one = asked.groupBy("vec_id", "dim").agg(F.min("vector").alias("vector"))
     one = one.groupBy("vec_id").agg(F.min(F.struct("dim", "vector")).alias("q")).select("vec_id", "q.dim", "q.vector")
     questions = packed(one, "asked", asked_blocks).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("dim", "part", F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"))
-    meetings = table.join(questions.hint("shuffle_hash"), ["dim", "part"])
+    dealt = [df.repartition(places, "dim", "part") for df in (table, questions)]
+    meetings = dealt[0].join(dealt[1].hint("shuffle_hash"), ["dim", "part"])
     with arrow_batches(vectors.sparkSession, 1):
         found = settle(meetings.mapInPandas(_meet(k), _FOUND), "found")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -3,6 +3,7 @@
 import hashlib
 import html as entities
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -397,6 +398,21 @@ def test_topk_awkward(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_sums_many_attributes_in_few_calls():
+    """A query against a block of some thousand rows takes milliseconds: bitmaps of a weight are added together."""
+    rng = np.random.default_rng(4)
+    rows = rng.integers(-200, 200, (4000, 64))
+    index = topk.Index(np.arange(4000), rows)
+    began = time.process_time()
+    found = [index.top(q, rows[q], 5) for q in range(40)]
+    assert time.process_time() - began < 0.5
+    for q, (ids, scores) in enumerate(found):
+        best = sorted((-int(s), i) for i, s in enumerate(rows @ rows[q]) if i != q)[:5]
+        assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist())] == best
+    ids, scores = index.top(-1, np.zeros(64, np.int64), 5)
+    assert ids.tolist() == [0, 1, 2, 3, 4] and not scores.any()
+
+
 # html
 
 
