@@ -25,9 +25,7 @@ def stored(p: Panels, methodology: str = "legacy", expanded: bool = True):
     """Runs and contributions of one methodology, attributed once per application and read back."""
     key = (p.spark.sparkContext.applicationId, p.sf_dir, methodology, expanded)
     if key not in _built:
-        runs, parts = plan.attribute(market_data(p), settings(methodology=methodology), expanded=expanded)
-        runs = settle(runs, "runs")
-        _built[key] = (runs, settle(parts, "contributions"))
+        _built[key] = plan.attribute(market_data(p), settings(methodology=methodology), expanded=expanded)
     return _built[key]
 
 

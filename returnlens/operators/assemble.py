@@ -88,10 +88,14 @@ def contributions(
     cutoff: str,
     safe_shares: bool,
     threshold: float = SHARE_THRESHOLD_BPS,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
-    """Every contribution of every window plus exactly one residual row, with shares under the chosen policy."""
+    """Every contribution of every window plus exactly one residual row, with shares under the chosen policy.
+
+    ``totals`` are the ``run_totals`` of the admissible rows, if they are at hand.
+    """
     inputs = admissible(rows, cutoff)
-    totals = run_totals(windows, inputs, threshold)
+    totals = run_totals(windows, inputs, threshold) if totals is None else totals
     observed, bps = F.col("observed_return_bps"), F.col("contribution_bps")
     share = safe_share(bps, observed, threshold) if safe_shares else plain_share(bps, observed)
     diagnosed = totals.withColumn("_diagnostics", _diagnostics_json(threshold))
@@ -121,6 +125,16 @@ def run_id(*parts: Column) -> Column:
     return name_uuid(RUN_NAMESPACE, F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
+def _id_of_window(methodology: str, basket_version: str | None) -> Column:
+    model, basket = METHODOLOGIES[methodology]
+    return run_id(*[F.col(c) for c in RUN_KEY], F.lit(model), F.lit(basket_version or basket))
+
+
+def with_run_id(parts: DataFrame, methodology: str, basket_version: str | None = None) -> DataFrame:
+    """Contributions of windows with the id ``runs`` gives their run."""
+    return parts.withColumn("attribution_run_id", _id_of_window(methodology, basket_version))
+
+
 def runs(windows: DataFrame, parts: DataFrame, cutoff: str, methodology: str, basket_version: str | None = None) -> DataFrame:
     """One run per window with a deterministic id; bps are kept to six decimals."""
     model, basket = METHODOLOGIES[methodology]
@@ -132,7 +146,7 @@ def runs(windows: DataFrame, parts: DataFrame, cutoff: str, methodology: str, ba
         windows.select(*RUN_KEY, "observed_return_bps")
         .join(residual, RUN_KEY)
         .select(
-            run_id(*[F.col(c) for c in RUN_KEY], F.lit(model), F.lit(basket)).alias("attribution_run_id"),
+            _id_of_window(methodology, basket).alias("attribution_run_id"),
             *RUN_KEY,
             F.lit(cutoff).cast("timestamp_ntz").alias("attribution_cutoff"),
             F.round("observed_return_bps", 6).alias("observed_return_bps"),
@@ -146,9 +160,14 @@ def runs(windows: DataFrame, parts: DataFrame, cutoff: str, methodology: str, ba
 
 
 def stored_contributions(run_rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """Contributions keyed by run id; bps to six decimals, shares to eight."""
-    keyed = run_rows.select("attribution_run_id", *RUN_KEY)
-    return parts.join(keyed, RUN_KEY).select(
+    """Contributions keyed by run id; bps to six decimals, shares to eight.
+
+    Rows that carry their run's id already need no lookup by window.
+    """
+    keyed = parts
+    if "attribution_run_id" not in parts.columns:
+        keyed = parts.join(run_rows.select("attribution_run_id", *RUN_KEY), RUN_KEY)
+    return keyed.select(
         "attribution_run_id",
         "driver",
         "name",

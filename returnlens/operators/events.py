@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from returnlens.functions.scoring import numeric_surprise, surprise_direction
 from returnlens.operators.pit import visible
+from returnlens.session import settle
 
 TAXONOMY_VERSION = "event-taxonomy-v0"
 FEATURE_VERSION = "edgar-feature-heuristic-v0"
@@ -125,10 +126,11 @@ def events_in_windows(windows: DataFrame, events: DataFrame, securities: DataFra
     """Visible events of each window's company inside the closed window.
 
     Windows are laid out over the days they span, so the join runs on company and day and each event meets only the
-    few windows around it; the exact time bounds follow.
+    few windows around it; the exact time bounds follow. The days laid out are written first: where they are few, the
+    planner then knows, and the events stay where they are.
     """
     owned = windows.join(securities.select("security_id", "company_id"), "security_id")
-    spread = owned.withColumn("event_day", F.explode(F.sequence("window_start", "window_end")))
+    spread = settle(owned.withColumn("event_day", F.explode(F.sequence("window_start", "window_end"))), "window-days")
     dated = visible(events, cutoff).drop("security_id").withColumn("event_day", F.col("event_time").cast("date"))
     start, end = F.col("window_start").cast("timestamp_ntz"), F.col("window_end").cast("timestamp_ntz")
     return (

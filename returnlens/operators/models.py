@@ -260,25 +260,23 @@ def style_rows(windows: DataFrame, bars: DataFrame, lookback_days: int, cutoff:
 
 
 def event_rows(windows: DataFrame, events: DataFrame, securities: DataFrame, cutoff: str) -> DataFrame:
-    """Classified events inside each window as evidence rows, keeping the events' own times."""
+    """Classified events inside each window as evidence rows, keeping the events' own times.
+
+    What an event says is put into words once an event, not once for every window it lies in. Events are spread over all
+    tasks before that: a few files may hold many, and every one of them makes several wide rows.
+    """
     keys = ["security_id", "cadence", "window_start", "window_end", "observed_return_bps"]
-    met = classify(events_in_windows(windows.select(*keys), events, securities, cutoff))
-    label = F.concat_ws("/", "event_category", "event_subtype")
-    return contribution_rows(
-        met,
-        cutoff,
-        driver=F.lit("event"),
-        name=F.concat(F.lit("Event evidence ("), label, F.lit(")")),
-        confidence=F.lit("Medium"),
-        contribution_stage=F.lit(EVIDENCE_ONLY),
-        evidence=F.array(
+    kinds = classify(events.repartition("event_id"))
+    texts = {
+        "_name": F.concat(F.lit("Event evidence ("), F.concat_ws("/", "event_category", "event_subtype"), F.lit(")")),
+        "_evidence": F.array(
             F.concat(F.lit("source="), "source"),
             F.concat(F.lit("source_id="), "source_id"),
             F.concat(F.lit("category="), "event_category"),
             F.concat(F.lit("subtype="), "event_subtype"),
             F.lit("causal_contribution=not_assigned"),
         ),
-        evidence_payload=F.to_json(
+        "_payload": F.to_json(
             F.struct(
                 F.col("event_id").cast("string").alias("event_id"),
                 "source",
@@ -291,8 +289,17 @@ def event_rows(windows: DataFrame, events: DataFrame, securities: DataFrame, cut
                 F.lit(EVENT_POLICY).alias("contribution_policy"),
             )
         ),
+    }
+    told = kinds.select("company_id", "event_time", "timestamp_available", *[text.alias(n) for n, text in texts.items()])
+    return contribution_rows(
+        events_in_windows(windows.select(*keys), told, securities, cutoff),
+        cutoff,
+        driver=F.lit("event"),
+        name=F.col("_name"),
+        confidence=F.lit("Medium"),
+        contribution_stage=F.lit(EVIDENCE_ONLY),
+        evidence=F.col("_evidence"),
+        evidence_payload=F.col("_payload"),
         event_time=F.col("event_time"),
         timestamp_available=F.col("timestamp_available"),
     )
-
-

@@ -96,8 +96,8 @@ def market_rows(data: MarketData, settings: Settings, ready: Prepared) -> DataFr
     )
 
 
-def expanded_rows(data: MarketData, settings: Settings, ready: Prepared) -> DataFrame:
-    """All models of the chosen methodology."""
+def fitted_rows(data: MarketData, settings: Settings, ready: Prepared) -> DataFrame:
+    """All models of the chosen methodology but the events."""
     cutoff, lookback = settings.cutoff, settings.lookback_days
     layered = settings.methodology == "hierarchical_market_first_v1"
     compositions, basket_series = peer_parts(data, ready.returns, cutoff)
@@ -115,26 +115,42 @@ def expanded_rows(data: MarketData, settings: Settings, ready: Prepared) -> Data
             .unionByName(models.macro_assignments(data.securities, data.exposures, cutoff))
         )
         factors = models.simple_factor_rows(ready.windows, ready.returns, assigned, every, lookback, cutoff)
-    rows = joint.unionByName(factors).unionByName(models.style_rows(ready.windows, ready.bars, lookback, cutoff))
-    if settings.include_events and data.events is not None:
-        rows = rows.unionByName(models.event_rows(ready.windows, data.events, data.securities, cutoff))
-    return rows
+    return joint.unionByName(factors).unionByName(models.style_rows(ready.windows, ready.bars, lookback, cutoff))
+
+
+def with_events(rows: DataFrame, data: MarketData, settings: Settings, ready: Prepared) -> DataFrame:
+    """The rows of the models with the event evidence, where it is wanted and there is any."""
+    if not settings.include_events or data.events is None:
+        return rows
+    return rows.unionByName(models.event_rows(ready.windows, data.events, data.securities, settings.cutoff))
+
+
+def expanded_rows(data: MarketData, settings: Settings, ready: Prepared) -> DataFrame:
+    """All models of the chosen methodology."""
+    return with_events(fitted_rows(data, settings, ready), data, settings, ready)
 
 
 def attribute(
     data: MarketData, settings: Settings, chosen: DataFrame | None = None, expanded: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Runs and contributions for every window; ``chosen`` restricts the windows, e.g. to those not stored yet."""
+    """Runs and contributions for every window; ``chosen`` restricts the windows, e.g. to those not stored yet.
+
+    Evidence rows are by far the most and the widest, so they are written once, under their run's id: totals come from the
+    windows, times and basis points alone, and the id is formed from the window.
+    """
     if settings.methodology not in METHODOLOGIES:
         raise ValueError(f"unsupported attribution methodology {settings.methodology}")
     ready = prepare(data, settings, chosen)
-    rows = expanded_rows(data, settings, ready) if expanded else market_rows(data, settings, ready)
-    rows = settle(rows, "inputs")
-    safe = settings.methodology != "legacy"
-    parts = settle(assemble.contributions(ready.windows, rows, settings.cutoff, safe), "contributions")
+    rows = settle(fitted_rows(data, settings, ready) if expanded else market_rows(data, settings, ready), "inputs")
+    if expanded:
+        rows = with_events(rows, data, settings, ready)
+    cutoff, safe = settings.cutoff, settings.methodology != "legacy"
+    totals = settle(assemble.run_totals(ready.windows, assemble.admissible(rows, cutoff)), "totals")
     basket = None if expanded else "french_market_v0"
-    run_rows = assemble.runs(ready.windows, parts, settings.cutoff, settings.methodology, basket)
-    return run_rows, assemble.stored_contributions(run_rows, parts)
+    parts = assemble.contributions(ready.windows, rows, cutoff, safe, totals=totals)
+    run_rows = settle(assemble.runs(ready.windows, parts, cutoff, settings.methodology, basket), "runs")
+    parts = assemble.with_run_id(parts, settings.methodology, basket)
+    return run_rows, settle(assemble.stored_contributions(run_rows, parts), "contributions")
 
 
 def resume(data: MarketData, settings: Settings, stored_runs: DataFrame) -> tuple[DataFrame, DataFrame]:
