@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from returnlens.functions.scoring import display_share, share_denominator, share_is_stable
 from returnlens.operators.pit import top_rows
+from returnlens.session import settle
 from returnlens.vocab import CHART_DRIVERS, RESIDUAL_DRIVER, SHARE_THRESHOLD_BPS
 
 # Days back from the last price of each chart range.
@@ -25,9 +26,15 @@ NEAR_ZERO_PCT = 0.000001
 
 
 def run_details(runs: DataFrame, parts: DataFrame, threshold: float = SHARE_THRESHOLD_BPS) -> DataFrame:
-    """Runs with their contributions, one row per contribution, small-move shares hidden."""
+    """Runs with their contributions, one row per contribution, small-move shares hidden.
+
+    A run without contributions keeps one row. Such runs are looked up by id alone, so that the contributions, by far the
+    wider side, meet the runs in a plain join and need not be moved where the runs are few.
+    """
     shown = display_share(F.col("share_of_move"), F.col("observed_return_bps"), threshold)
-    return runs.join(parts, "attribution_run_id", "left").withColumn("share_of_move", shown)
+    held = runs.join(parts, "attribution_run_id")
+    bare = runs.join(parts.select("attribution_run_id").distinct(), "attribution_run_id", "left_anti")
+    return held.unionByName(bare, allowMissingColumns=True).withColumn("share_of_move", shown)
 
 
 def run_history(runs: DataFrame, limit: int = 50, cadence: str | None = None) -> DataFrame:
@@ -59,14 +66,14 @@ def chart_prices(bars: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def chart_points(runs: DataFrame, parts: DataFrame, bounds: DataFrame, chart_range: str) -> DataFrame:
-    """Contributions in percent of the runs a chart shows."""
+    """Contributions in percent of the runs a chart shows; these are few, and written first so that the planner knows."""
     cadence = "weekly" if chart_range in WEEKLY_RANGES else "daily"
     chosen = (
         runs.where(F.col("cadence") == cadence)
         .join(bounds, "security_id")
         .where(F.col("window_end").between(F.col("chart_start"), F.col("chart_end")))
     )
-    return run_details(chosen, parts).select(
+    return run_details(settle(chosen, "charted"), parts).select(
         "security_id",
         "attribution_run_id",
         F.col("window_end").alias("event_date"),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from returnlens.catalog.core import market_data, settings
 from returnlens.catalog.panels import Panels
-from returnlens.operators import assemble
+from returnlens.operators import assemble, reports
 from returnlens.plans import attribution as plan
 from returnlens.session import settle
 
@@ -60,3 +60,20 @@ def test_given_totals_and_ids_change_nothing(panels):
     # Sums of doubles may differ in their last place with the order they are added in.
     near = [F.round(c, 3).alias(c) if c in ("contribution_bps", "share_of_move") else F.col(c) for c in got.columns if c != "evidence_payload"]
     assert got.select(near).exceptAll(wanted.select(near)).isEmpty() and wanted.select(near).exceptAll(got.select(near)).isEmpty()
+
+
+def test_few_runs_do_not_move_the_contributions(attributed):
+    runs, parts = attributed
+    shown = reports.export_rows(runs, parts)
+    assert "SortMergeJoin" not in planned(shown) and "LeftOuter" not in planned(shown)
+    assert shown.count() == parts.count()
+
+
+def test_a_run_without_contributions_keeps_a_row(attributed):
+    runs, parts = attributed
+    one = runs.orderBy("attribution_run_id").first().attribution_run_id
+    left = reports.run_details(runs, parts.where(F.col("attribution_run_id") != one))
+    lonely = left.where(F.col("attribution_run_id") == one).collect()
+    assert len(lonely) == 1 and lonely[0].driver is None and lonely[0].share_of_move is None and lonely[0].window_end
+    plain = runs.join(parts.where(F.col("attribution_run_id") != one), "attribution_run_id", "left")
+    assert left.columns == plain.columns and left.count() == plain.count()
