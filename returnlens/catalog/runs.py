@@ -673,9 +673,9 @@ def refreshed_summaries(p: Panels):
     runs, parts = stored(p)
     since = (F.col("window_end") >= F.lit("1998-06-01").cast("date")) & (F.col("security_id") % 3 != 1) | (F.col("security_id") % 7 == 2)
     before, delta = runs.where(~since), runs.where(since)
-    of = lambda some: parts.join(some.select("attribution_run_id"), "attribution_run_id", "left_semi")
-    kept = settle(universe.summaries(members(p).where("security_id <> 5"), before, of(before), p.classification, p.price_raw, CUTOFF), "summaries")
-    return shown_summaries(universe.refreshed_summaries(kept, members(p), delta, of(delta), p.classification, p.price_raw, CUTOFF))
+    # Contributions are read by the id of a run on either side, so both sides are given all of them.
+    kept = settle(universe.summaries(members(p).where("security_id <> 5"), before, parts, p.classification, p.price_raw, CUTOFF), "summaries")
+    return shown_summaries(universe.refreshed_summaries(kept, members(p), delta, parts, p.classification, p.price_raw, CUTOFF))
 
 
 @query("universe_page", """

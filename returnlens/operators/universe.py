@@ -9,6 +9,7 @@ from returnlens.functions.identity import clean_label
 from returnlens.functions.scoring import residual_usd
 from returnlens.operators.assemble import driver_rank
 from returnlens.operators.pit import active_ticker_map, close_at, latest_classification, top_rows
+from returnlens.session import settle
 from returnlens.vocab import RESIDUAL_DRIVER
 
 
@@ -94,8 +95,12 @@ def latest_runs(runs: DataFrame, cadence: str = "daily", by_window: bool = True)
 def summaries(
     members: DataFrame, runs: DataFrame, parts: DataFrame, classes: DataFrame, bars: DataFrame, cutoff: str
 ) -> DataFrame:
-    """One row per universe member: newest daily run, its top driver, counts and price change."""
-    latest = latest_runs(runs).select(
+    """One row per universe member: newest daily run, its top driver, counts and price change.
+
+    The newest runs and what is read of their contributions are written first: contributions are read once, and of the
+    evidence only whether there is any goes further.
+    """
+    newest = latest_runs(runs).select(
         "security_id",
         F.col("attribution_run_id").alias("latest_run_id"),
         "window_start",
@@ -103,10 +108,12 @@ def summaries(
         F.col("observed_return_bps").alias("latest_observed_return_bps"),
         F.col("unexplained_residual_bps").alias("latest_residual_bps"),
     )
-    mine = parts.join(latest.select(F.col("latest_run_id").alias("attribution_run_id")), "attribution_run_id")
+    latest = settle(newest, "latest-runs")
     has_evidence = (F.size("evidence") > 0) | (F.col("evidence_payload") != "{}")
+    told = parts.select("attribution_run_id", "driver", "name", "contribution_bps", "confidence", has_evidence.alias("has_evidence"))
+    mine = settle(told.join(latest.select(F.col("latest_run_id").alias("attribution_run_id")), "attribution_run_id"), "latest-contributions")
     counts = mine.groupBy(F.col("attribution_run_id").alias("latest_run_id")).agg(
-        F.count("*").alias("contribution_count"), F.count_if(has_evidence).alias("evidence_count")
+        F.count("*").alias("contribution_count"), F.count_if("has_evidence").alias("evidence_count")
     )
     top = top_rows(
         mine.where(F.col("driver") != RESIDUAL_DRIVER),

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from returnlens.catalog.core import market_data, settings
-from returnlens.catalog.panels import Panels
-from returnlens.operators import assemble, reports
+from returnlens.catalog.panels import CUTOFF, Panels
+from returnlens.catalog.runs import members
+from returnlens.operators import assemble, reports, universe
 from returnlens.plans import attribution as plan
 from returnlens.session import settle
 
@@ -77,3 +78,14 @@ def test_a_run_without_contributions_keeps_a_row(attributed):
     assert len(lonely) == 1 and lonely[0].driver is None and lonely[0].share_of_move is None and lonely[0].window_end
     plain = runs.join(parts.where(F.col("attribution_run_id") != one), "attribution_run_id", "left")
     assert left.columns == plain.columns and left.count() == plain.count()
+
+
+def test_summaries_carry_no_evidence(panels, attributed):
+    runs, parts = attributed
+    rows = universe.summaries(members(panels), runs, parts, panels.classification, panels.price_raw, CUTOFF)
+    assert "evidence" not in planned(rows).replace("evidence_count", "").replace("has_evidence", "")
+    counted = rows.agg(F.sum("contribution_count"), F.sum("evidence_count")).first()
+    latest = universe.latest_runs(runs).select("attribution_run_id")
+    mine = parts.join(latest, "attribution_run_id")
+    told = mine.where((F.size("evidence") > 0) | (F.col("evidence_payload") != "{}"))
+    assert tuple(counted) == (mine.count(), told.count())
