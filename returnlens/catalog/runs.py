@@ -871,7 +871,7 @@ def driver_export(p: Panels):
 
     runs, parts = stored(p)
     path = scratch_path(p.spark, "export")
-    reports.write_export(reports.export_rows(runs, parts), path)
+    reports.write_export(reports.export_rows(runs, parts), path, compression="gzip")
     back = p.spark.read.option("header", True).option("escape", '"').schema(
         "attribution_run_id string, driver string, name string, contribution_bps string, share_of_move string, "
         "confidence string, stage string, evidence string, evidence_payload string"

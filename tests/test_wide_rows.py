@@ -8,7 +8,7 @@ from returnlens.catalog.panels import CUTOFF, Panels
 from returnlens.catalog.runs import members
 from returnlens.operators import assemble, reports, universe
 from returnlens.plans import attribution as plan
-from returnlens.session import settle
+from returnlens.session import scratch_path, settle
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +89,18 @@ def test_summaries_carry_no_evidence(panels, attributed):
     mine = parts.join(latest, "attribution_run_id")
     told = mine.where((F.size("evidence") > 0) | (F.col("evidence_payload") != "{}"))
     assert tuple(counted) == (mine.count(), told.count())
+
+
+def test_packed_export_reads_back_the_same(spark, attributed):
+    runs, parts = attributed
+    rows = reports.export_rows(runs, parts.limit(2000))
+    rows = settle(rows, "export-rows")
+    sizes, cells = [], []
+    for how in ("none", "gzip"):
+        path = scratch_path(spark, f"export-{how}")
+        reports.write_export(rows, path, compression=how)
+        cells.append(spark.read.option("header", True).option("escape", '"').schema(", ".join(f"{c} string" for c in rows.columns)).csv(path))
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv*").load(path)
+        sizes.append(files.agg(F.sum("length")).first()[0])
+    assert sizes[1] * 4 < sizes[0]
+    assert cells[0].exceptAll(cells[1]).isEmpty() and cells[0].count() == cells[1].count() == rows.count()
