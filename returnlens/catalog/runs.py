@@ -248,7 +248,8 @@ SELECT security_id, cadence, window_start, window_end, driver, name,
               WHEN 'event' THEN 6 ELSE 99 END, name) AS position FROM part_expanded""")
 def contribution_order(p: Panels):
     runs, parts = stored(p)
-    placed = quality.sorted_positions(with_key(runs, parts), ["attribution_run_id"])
+    ordered = parts.select("attribution_run_id", "driver", "name", "contribution_bps")
+    placed = with_key(runs, quality.sorted_positions(ordered, ["attribution_run_id"]))
     return placed.select(*windows.WINDOW, "driver", "name", "position")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from returnlens.catalog.core import market_data, settings
 from returnlens.catalog.panels import CUTOFF, Panels
-from returnlens.catalog.runs import members
+from returnlens.catalog.runs import contribution_order, members
 from returnlens.operators import assemble, reports, universe
 from returnlens.plans import attribution as plan
 from returnlens.session import scratch_path, settle
@@ -63,6 +63,17 @@ def test_given_totals_and_ids_change_nothing(panels):
     assert got.select(near).exceptAll(wanted.select(near)).isEmpty() and wanted.select(near).exceptAll(got.select(near)).isEmpty()
 
 
+def test_summaries_carry_no_evidence(panels, attributed):
+    runs, parts = attributed
+    rows = universe.summaries(members(panels), runs, parts, panels.classification, panels.price_raw, CUTOFF)
+    assert "evidence" not in planned(rows).replace("evidence_count", "").replace("has_evidence", "")
+    counted = rows.agg(F.sum("contribution_count"), F.sum("evidence_count")).first()
+    latest = universe.latest_runs(runs).select("attribution_run_id")
+    mine = parts.join(latest, "attribution_run_id")
+    told = mine.where((F.size("evidence") > 0) | (F.col("evidence_payload") != "{}"))
+    assert tuple(counted) == (mine.count(), told.count())
+
+
 def test_few_runs_do_not_move_the_contributions(attributed):
     runs, parts = attributed
     shown = reports.export_rows(runs, parts)
@@ -80,17 +91,6 @@ def test_a_run_without_contributions_keeps_a_row(attributed):
     assert left.columns == plain.columns and left.count() == plain.count()
 
 
-def test_summaries_carry_no_evidence(panels, attributed):
-    runs, parts = attributed
-    rows = universe.summaries(members(panels), runs, parts, panels.classification, panels.price_raw, CUTOFF)
-    assert "evidence" not in planned(rows).replace("evidence_count", "").replace("has_evidence", "")
-    counted = rows.agg(F.sum("contribution_count"), F.sum("evidence_count")).first()
-    latest = universe.latest_runs(runs).select("attribution_run_id")
-    mine = parts.join(latest, "attribution_run_id")
-    told = mine.where((F.size("evidence") > 0) | (F.col("evidence_payload") != "{}"))
-    assert tuple(counted) == (mine.count(), told.count())
-
-
 def test_packed_export_reads_back_the_same(spark, attributed):
     runs, parts = attributed
     rows = reports.export_rows(runs, parts.limit(2000))
@@ -104,3 +104,9 @@ def test_packed_export_reads_back_the_same(spark, attributed):
         sizes.append(files.agg(F.sum("length")).first()[0])
     assert sizes[1] * 4 < sizes[0]
     assert cells[0].exceptAll(cells[1]).isEmpty() and cells[0].count() == cells[1].count() == rows.count()
+
+
+def test_positions_are_given_before_runs_are_joined(panels):
+    """The sort by run moves four columns of a contribution and none of its run's."""
+    text = planned(contribution_order(panels))
+    assert text.index("Join") < text.index("Window")
