@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from returnlens.catalog.core import market_data, settings
-from returnlens.catalog.panels import CUTOFF, Panels
+from returnlens.catalog.panels import CUTOFF, PANELS, SPARK_FORMS, Panels
 from returnlens.catalog.runs import contribution_order, members
 from returnlens.operators import assemble, reports, universe
 from returnlens.plans import attribution as plan
@@ -110,3 +110,13 @@ def test_positions_are_given_before_runs_are_joined(panels):
     """The sort by run moves four columns of a contribution and none of its run's."""
     text = planned(contribution_order(panels))
     assert text.index("Join") < text.index("Window")
+
+
+def test_half_levels_read_shipments_once(spark, panels):
+    """One join gives all four factors; the rows are those of the plain text."""
+    assert SPARK_FORMS["half_levels"].count("shipments") == 1
+    got = panels.half_levels
+    text = PANELS["half_levels"].replace("shipments", "{shipments}").replace("part_halves", "{part_halves}")
+    wanted = spark.sql(text, shipments=panels.shipments, part_halves=panels.part_halves)
+    assert {f.name: f.dataType for f in got.schema} == {f.name: f.dataType for f in wanted.schema}
+    assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty() and got.count()
