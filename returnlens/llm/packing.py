@@ -6,27 +6,29 @@ Karmarkar-Karp differencing method: each piece starts as a partial partition of
 with the largest spread are merged with opposing imbalances, until one near-equal partition is left. If its largest window
 exceeds the capacity, the window count rises and the pieces are partitioned anew.
 
-Groups never leave their task, so packing needs no shuffle, and memory is bounded by one group.
+Groups never leave their task, so packing needs no shuffle, and memory is bounded by one group and one slice of texts
+(``tokens.py`` reads their ids).
 """
 
 from __future__ import annotations
 
 import heapq
-import os
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from returnlens.llm.tokens import Tokens
+
 CAPACITY = 2048
 END_ID = 1
+SLICE = 8 << 20  # bytes of text whose ids are found at once
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
     T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()),
@@ -36,24 +38,44 @@ SCHEMA = T.StructType([
 
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:
     """Split the indexes of ``sizes`` into ``ways`` parts with near-equal sums."""
-    heap = []
-    for i, size in enumerate(sizes):
-        sums = np.zeros(ways, np.int64)
-        sums[-1] = size
-        heap.append((-size, i, sums, [()] * (ways - 1) + [(i,)]))
+    n = len(sizes)
+    heap = [(-size, i) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    serial = len(sizes)
-    while len(heap) > 1:
-        _, _, a, pa = heapq.heappop(heap)
-        _, _, b, pb = heapq.heappop(heap)
-        sums = a + b[::-1]
-        parts = [x + y if y else x for x, y in zip(pa, reversed(pb), strict=True)]
-        order = np.argsort(sums, kind="stable")
-        sums, parts = sums[order], [parts[k] for k in order]
-        sums -= sums[0]
-        heapq.heappush(heap, (-int(sums[-1]), serial, sums, parts))
-        serial += 1
-    return [list(p) for p in heap[0][3]] if heap else [[] for _ in range(ways)]
+    sums, merged = {}, []  # a piece's own sums are made when it is merged; how the ways met is kept in few bytes
+
+    def taken(k: int) -> np.ndarray:
+        if k >= n:
+            return sums.pop(k)
+        alone = np.zeros(ways, np.int64)
+        alone[-1] = sizes[k]
+        return alone
+
+    kind = np.min_scalar_type(ways)
+    for serial in range(n, 2 * n - 1):
+        _, i = heapq.heappop(heap)
+        _, j = heap[0]
+        both = taken(i) + taken(j)[::-1]
+        order = both.argsort(kind="stable")
+        both = both[order]
+        both -= both[0]
+        sums[serial] = both
+        heapq.heapreplace(heap, (-int(both[-1]), serial))
+        merged.append((i, j, order.astype(kind)))
+    parts = [[] for _ in range(ways)]
+    places = {2 * n - 2: np.arange(ways, dtype=kind)}  # of a partial partition's ways among the parts
+    final = [ways - 1] * n
+    for serial in range(2 * n - 2, n - 1, -1):
+        i, j, order = merged.pop()
+        place = np.empty_like(order)
+        place[order] = places.pop(serial)
+        for k, way in ((i, place), (j, place[::-1])):
+            if k >= n:
+                places[k] = way
+            else:
+                final[k] = int(way[-1])
+    for i, way in enumerate(final):
+        parts[way].append(i)
+    return parts
 
 
 def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -68,70 +90,20 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
         ways += 1
 
 
-class WordCache:
-    """Token ids of a text, through a bounded memory of the ids of its white-space separated chunks.
-
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks in order. A chunk
-    of letters is handed to the model itself; any other goes through the whole tokenizer, and so does a text that spells
-    a special token or holds a separator on which Python and the tokenizer disagree.
-    """
-
-    _ODD = re.compile("[\x1c-\x1f]|<\\|")
-
-    def __init__(self, path: str, limit: int = 500_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
-        self.model, self.letters = self.tokenizer.model, {}
-        self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _letter(self, c: str) -> str:
-        if c not in self.letters:
-            self.letters[c] = self.level.pre_tokenize_str(c)[0][0]
-        return self.letters[c]
-
-    def _chunk(self, chunk: str) -> bytes:
-        base = chunk.rstrip(".,")
-        word = base.lower()
-        if not word.isalpha() or "Σ" in base or "İ" in base or not unicodedata.is_normalized("NFC", base):
-            return self._whole(chunk)
-        ids = self.known.get(word)
-        if ids is None:
-            spelled = word if word.isascii() else "".join(map(self._letter, word))
-            ids = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
-        if len(base) == len(chunk):
-            return ids
-        mark = chunk[len(base):]
-        if mark not in self.known:
-            self.known[mark] = self._whole(mark)
-        return ids + self.known[mark]
-
-    def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if self._ODD.search(text):
-            return self._whole(text)
-        chunks, known = text.split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(known) > self.limit:
-            known.clear()
-        for chunk in set(chunks).difference(known):
-            known[chunk] = self._chunk(chunk)
-        return b"".join(map(known.__getitem__, chunks))
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of a batch, by about ``SLICE`` bytes of text."""
+    doc_ids, texts = batch.column(0), batch.column(1)
+    at = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
+    for begin, end in zip(cuts, cuts[1:]):
+        yield doc_ids[begin:end].to_pylist(), texts[begin:end]
 
 
 def _packer(path: str, capacity: int, piece: int, windows: int):
-    end = np.array([END_ID], dtype="<u4").tobytes()
     spare = 4 * windows  # what differencing may miss by, so that the planned number of windows nearly always holds
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordCache(path)  # for this task: what a worker keeps beyond it would weigh on later stages
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(path, END_ID)  # for this task: what a worker keeps beyond it would weigh on later stages
         sequence = TaskContext.get().partitionId() << 33
         rows, waiting, mass = [], [], 0
 
@@ -146,11 +118,11 @@ def _packer(path: str, capacity: int, piece: int, windows: int):
                 sequence += 1
             waiting, mass = [], 0
 
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = (cache.ids(text) if isinstance(text, str) else b"") + end
-                total = len(ids) // 4
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+        for doc_ids, texts in (part for batch in batches for part in _slices(batch)):
+            flat, totals = tokens.ids(texts)
+            left = memoryview(flat.view(np.uint8))
+            for doc_id, total in zip(doc_ids, totals.tolist(), strict=True):
+                ids, left = left[:4 * total], left[4 * total:]
                 whole = total // capacity * capacity
                 for start in range(0, whole, capacity):
                     rows.append((doc_id, start, capacity, zlib.crc32(ids[4 * start:4 * (start + capacity)]), total, sequence, 0))
@@ -162,18 +134,17 @@ def _packer(path: str, capacity: int, piece: int, windows: int):
                     waiting.append((doc_id, start, length, zlib.crc32(ids[4 * start:4 * (start + length)]), total))
                     mass += length
                 if len(rows) >= 20_000:
-                    yield _frame(rows)
+                    yield _batch(rows)
                     rows = []
         flush()
-        yield _frame(rows)
+        yield _batch(rows)
 
     return pack
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=SCHEMA.names)
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(SCHEMA.names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], SCHEMA.names)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, piece: int = 256, windows: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,5 +158,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInPandas(_packer(tokenizer, capacity, piece, windows), SCHEMA)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return base.mapInArrow(_packer(tokenizer, capacity, piece, windows), SCHEMA)
