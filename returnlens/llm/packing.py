@@ -28,7 +28,7 @@ from returnlens.llm.tokens import Tokens
 
 CAPACITY = 2048
 END_ID = 1
-SLICE = 3 << 20  # bytes of text whose ids are found at once
+SLICE = 1 << 20  # bytes of text whose ids are found at once
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
     T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()),
