@@ -80,9 +80,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences of all stages; of the tables in between only the last one is left behind."""
+    """The pieces of the packed sequences of all stages; none of the tables in between is left behind."""
     docs = table(spark, sf_dir, "documents")
     with scratch(spark):
-        for name, stage in STAGES[:-1]:
-            docs = settle(stage(spark, docs, sf_dir), name, keep=name == STAGES[-2][0])
-    return STAGES[-1][1](spark, docs, sf_dir)
+        for name, stage in STAGES:
+            docs = settle(stage(spark, docs, sf_dir), name, keep=name == STAGES[-1][0])
+    return docs

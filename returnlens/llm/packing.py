@@ -6,8 +6,8 @@ Karmarkar-Karp differencing method: each piece starts as a partial partition of
 with the largest spread are merged with opposing imbalances, until one near-equal partition is left. If its largest window
 exceeds the capacity, the window count rises and the pieces are partitioned anew.
 
-Groups never leave their task, so packing needs no shuffle, and memory is bounded by one group and one slice of texts
-(``tokens.py`` reads their ids).
+Groups never leave their task, so packing needs no shuffle, and memory is bounded by one group, one batch and one slice of
+texts (``tokens.py`` reads their ids).
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from returnlens.llm.common import arrow_batches
 from returnlens.llm.tokens import Tokens
+from returnlens.session import settle
 
 CAPACITY = 2048
 END_ID = 1
+BATCH = 500  # texts handed to Python at once
 SLICE = 1 << 20  # bytes of text whose ids are found at once
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -160,4 +163,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(_packer(tokenizer, capacity, piece, windows), SCHEMA)
+    with arrow_batches(docs.sparkSession, BATCH):  # holds for what runs inside, so the pieces are written here
+        return settle(base.mapInArrow(_packer(tokenizer, capacity, piece, windows), SCHEMA), "pieces")
